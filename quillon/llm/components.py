@@ -17,9 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
     """
     spark = edges.sparkSession
     shared_checkpoints(spark)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    # written once: every round reads its edges several times
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
     nodes_alone = e.where("u = v").select("u", "v")
-    e = e.where("u <> v").distinct()
+    e = e.where("u <> v")
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         """large: each neighbour above a node is tied to the node's minimum; small: those below it and itself."""

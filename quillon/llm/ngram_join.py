@@ -4,7 +4,8 @@ Sets are put in size levels. For two linked sets the smaller one's level fixes h
 may be (k, as symmetric difference). The feature domain is hashed into n1 first-level parts of
 three second-level parts; with n1 = ceil((k+1)/2), one first-level part differs in at most one
 feature, so two of its three second-level parts are equal. Each pair of second-level parts of each
-first-level part is one signature, and linked sets share at least one.
+first-level part is one signature, and linked sets share at least one. Larger levels have a few
+first-level parts to spare, so that pairs of empty parts, which unrelated sets share, can be left out.
 
 Signatures never become rows: each map task packs them into byte blocks by signature range, and
 each range is sorted once in numpy. Sets that share a signature are tied to the smallest set key of
@@ -59,15 +60,21 @@ def signatures(g: np.ndarray, percent: int) -> np.ndarray:
         if k == 0:
             out.append(mix(np.array([(int(mix(g).sum()) + int(salt)) & M64], np.uint64)))
             continue
-        n1 = (k + 2) // 2
+        n1 = k // 2 + 1
+        spare = 0 if n1 < 4 else 1 if n1 < 16 else 2 + n1 // 48
+        n1 += spare
         x = mix(g + salt)
         cell = ((x >> np.uint64(32)) % np.uint64(n1)).astype(np.int64) * 3 + ((x & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
         sums = np.zeros(3 * n1, np.uint64)
         np.add.at(sums, cell, mix(x))
         c = sums.reshape(n1, 3)
         part = np.arange(n1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt
+        empty = c == 0
+        # with spare parts, spare + 1 of them agree; a set with at most spare parts that have an empty pair leaves those pairs out
+        drop = bool(spare) and int((empty.sum(1) >= 2).sum()) <= spare
         for i, (p, q) in enumerate(((0, 1), (0, 2), (1, 2))):
-            out.append(mix(c[:, p] * np.uint64(3) + mix(c[:, q]) + part + np.uint64(i * 7919 + 1)))
+            x = mix(c[:, p] * np.uint64(3) + mix(c[:, q]) + part + np.uint64(i * 7919 + 1))
+            out.append(x[~(empty[:, p] & empty[:, q])] if drop else x)
     return np.concatenate(out)
 
 
@@ -251,7 +258,7 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(64, math.ceil(total * 0.5 / RANGE))
     blocks = base.mapInArrow(_blocks(size, percent, ranges), "r int, block binary")
-    stars = blocks.groupBy("r").applyInArrow(_stars, "a long, b long").distinct()
+    stars = blocks.groupBy("r").applyInArrow(_stars, "a long, b long")
     clusters = connected_components(stars)
     reps = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", "n", "set_key", "component").checkpoint()

@@ -1,16 +1,17 @@
 """N-gram Jaccard self-join with PartEnum signatures (exact; no cap on partners).
 
 Sets are put in size levels. For two linked sets the smaller one's level fixes how far apart they
-may be (k, as symmetric difference). The feature domain is hashed into n1 first-level parts of
-three second-level parts; with n1 = ceil((k+1)/2), one first-level part differs in at most one
-feature, so two of its three second-level parts are equal. Each pair of second-level parts of each
+may be (k, as symmetric difference). The feature domain is hashed into n1 first-level parts of n2
+second-level parts; with n1 > k / (k2 + 1), one first-level part differs in at most k2 features, so
+n2 - k2 of its second-level parts are equal. Each subset of n2 - k2 second-level parts of each
 first-level part is one signature, and linked sets share at least one. Larger levels have a few
-first-level parts to spare, so that pairs of empty parts, which unrelated sets share, can be left out.
+first-level parts to spare, so that subsets of empty parts, which unrelated sets share, can be left out.
 
 Signatures never become rows: each map task packs them into byte blocks by signature range, and
-each range is sorted once in numpy. Sets that share a signature are tied to the smallest set key of
-that bucket (a star, not all pairs), stars are closed to candidate clusters, and links inside a
-cluster are verified exactly. Clusters of many features are cut into chunks and verified chunk
+each range is sorted once in numpy. Sets that share a signature in a small bucket are candidate
+pairs, which sizes and parity sketches (exact bounds) thin out; those of a larger bucket are tied to
+its smallest set key, not paired. Pairs and ties are closed to candidate clusters, and links inside
+a cluster are verified exactly. Clusters of many features are cut into chunks and verified chunk
 against chunk, so that no task holds an unbounded group; tasks return a spanning forest of links.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from quillon.llm.components import connected_components
 LEVEL = 1.5
 #: signatures in one range, shingles in one verification chunk
 RANGE, CHUNK = 1_000_000, 1_000_000
+#: members of a bucket whose pairs are looked at one by one
+SMALL = 24
 
 
 def level_of(n: int) -> int:
@@ -50,41 +54,60 @@ def set_key(g: np.ndarray) -> int:
     return (x - (1 << 64) if x >> 63 else x) if len(g) else 0
 
 
-def signatures(g: np.ndarray, percent: int) -> np.ndarray:
+def partition_shape(percent: int) -> tuple[int, int]:
+    """(k2, n2): the differences allowed in one first-level part, and its second-level parts.
+
+    The lower the similarity, the more parts a set has and the fewer features are in each; with more
+    second-level parts a signature takes in more of them, so that common features alone seldom make one.
+    """
+    return (1, 3) if percent >= 75 else (2, 5)
+
+
+@lru_cache(None)
+def spare_parts(n1: int, n2: int, k2: int, level: int) -> int:
+    """More first-level parts than needed: enough that nearly all sets of the level have no more with an empty subset."""
+    expected = n1 * math.comb(n2, k2) * math.exp(-(LEVEL**level) * (n2 - k2) / (n2 * n1))
+    return min(math.ceil(expected + 4 * math.sqrt(expected) + 0.5), max(n1 // 6, int(n1 >= 4)))
+
+
+def signatures(g: np.ndarray, percent: int, shape: tuple[int, int] | None = None) -> np.ndarray:
     """All PartEnum signatures of one set of feature hashes."""
     n, out = len(g), []
     if not n:
         return np.zeros(0, np.uint64)
+    k2, n2 = shape or partition_shape(percent)
+    subsets = list(combinations(range(n2), n2 - k2))
     for level in range(level_of(-(-percent * n // 100)), level_of(n) + 1):
-        k, salt = differences(level, percent), np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        k, salt = differences(level, percent), np.uint64(level * 0x9E3779B97F4A7C15 & M64)
         if k == 0:
             out.append(mix(np.array([(int(mix(g).sum()) + int(salt)) & M64], np.uint64)))
             continue
-        n1 = k // 2 + 1
-        spare = 0 if n1 < 4 else 1 if n1 < 16 else 2 + n1 // 48
+        n1 = k // (k2 + 1) + 1
+        spare = spare_parts(n1, n2, k2, level)
         n1 += spare
         x = mix(g + salt)
-        cell = ((x >> np.uint64(32)) % np.uint64(n1)).astype(np.int64) * 3 + ((x & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
-        sums = np.zeros(3 * n1, np.uint64)
+        cell = ((x >> np.uint64(32)) % np.uint64(n1)).astype(np.int64) * n2 + ((x & np.uint64(0xFFFFFFFF)) % np.uint64(n2)).astype(np.int64)
+        sums = np.zeros(n2 * n1, np.uint64)
         np.add.at(sums, cell, mix(x))
-        c = sums.reshape(n1, 3)
+        c = sums.reshape(n1, n2)
         part = np.arange(n1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt
         empty = c == 0
-        # with spare parts, spare + 1 of them agree; a set with at most spare parts that have an empty pair leaves those pairs out
-        drop = bool(spare) and int((empty.sum(1) >= 2).sum()) <= spare
-        for i, (p, q) in enumerate(((0, 1), (0, 2), (1, 2))):
-            x = mix(c[:, p] * np.uint64(3) + mix(c[:, q]) + part + np.uint64(i * 7919 + 1))
-            out.append(x[~(empty[:, p] & empty[:, q])] if drop else x)
+        # with spare parts, spare + 1 of them agree; a set with at most spare parts that have an empty subset leaves those subsets out
+        drop = bool(spare) and int((empty.sum(1) >= n2 - k2).sum()) <= spare
+        scrambled = mix(c + np.arange(1, n2 + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+        for i, t in enumerate(subsets):
+            y = mix(scrambled[:, t].sum(1) + part + np.uint64(i * 7919 + 1))
+            out.append(y[~empty[:, t].all(1)] if drop else y)
     return np.concatenate(out)
 
 
-def _keys(size: int):
+def _keys(size: int, percent: int):
     def run(batches):
         import pyarrow as pa
 
         for rows, texts in slices(batches):
             sets = shingles(texts, size)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([parity_sketch(s, percent) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
 
     return run
 
@@ -120,8 +143,9 @@ def _blocks(size: int, percent: int, ranges: int, limit: int = 2_000_000):
     return run
 
 
-def _stars(table):
-    """The signature range's buckets of at least two set keys, as (smallest key, other key)."""
+def _candidates(table):
+    """The signature range's buckets of at least two set keys: all pairs of a small bucket, and for a
+    larger one ties of its members to the smallest key."""
     import pyarrow as pa
 
     sig, key = [], []
@@ -130,13 +154,60 @@ def _stars(table):
         sig.append(np.frombuffer(b, np.uint32, n))
         key.append(np.frombuffer(b, np.int64, n, 4 * n))
     sig, key = np.concatenate(sig), np.concatenate(key)
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
+    sig, key = sig[new], key[new]
     begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    low = np.repeat(np.minimum.reduceat(key, begin), np.diff(np.r_[begin, len(sig)]))
-    other = key != low
-    pairs = np.unique(np.stack([low[other], key[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    size = np.diff(np.r_[begin, len(sig)])
+    run, small = np.repeat(np.arange(len(begin)), size), np.repeat(size <= SMALL, size)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for d in range(1, min(SMALL, int(size.max(initial=1)))):
+        i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+        pairs.append(np.stack([key[i], key[i + d]], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    low = np.repeat(key[begin], size)
+    tied = ~small & (key != low)
+    ties = np.unique(np.stack([low[tied], key[tied]], 1), axis=0)
+    both = np.concatenate([pairs, ties])
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "tie": pa.array(np.arange(len(both)) >= len(pairs))})
+
+
+def parity_sketch(g: np.ndarray, percent: int) -> bytes:
+    """Parities of the features hashed to a power of two of bits, about four times the allowed differences.
+
+    Differing bits of two sketches, the longer one folded, are never more than the differing features.
+    """
+    n = len(g)
+    words = 1
+    while 16 * words * (100 + percent) < (100 - percent) * (n + 100 * n // percent):
+        words *= 2
+    x, out = mix(g + np.uint64(77)), np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, ((x >> np.uint64(40)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+    return out.tobytes()
+
+
+def _near(percent: int):
+    """Keeps the pairs that sizes and sketches do not rule out."""
+
+    def fold(s, words):
+        s = np.frombuffer(s, np.uint64)
+        return np.bitwise_xor.reduce(s.reshape(-1, words), 0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok = percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
+            sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for i in np.flatnonzero(ok):
+                words = min(len(sa[i]), len(sb[i])) // 8
+                d = int(np.bitwise_count(fold(sa[i], words) ^ fold(sb[i], words)).sum())
+                ok[i] = d * (100 + percent) <= (100 - percent) * int(na[i] + nb[i])
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
 
 
 def _sets(size: int):
@@ -254,13 +325,17 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
     spark = docs.sparkSession
     shared_checkpoints(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = base.mapInArrow(_keys(size), "doc_id long, n_shingles long, set_key long").checkpoint()
+    keyed = base.mapInArrow(_keys(size, percent), "doc_id long, n_shingles long, set_key long, sketch binary").checkpoint()
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(64, math.ceil(total * 0.5 / RANGE))
     blocks = base.mapInArrow(_blocks(size, percent, ranges), "r int, block binary")
-    stars = blocks.groupBy("r").applyInArrow(_stars, "a long, b long")
-    clusters = connected_components(stars)
-    reps = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    found = blocks.groupBy("r").applyInArrow(_candidates, "a long, b long, tie boolean").checkpoint()
+    reps = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    pairs = found.where("NOT tie").select("a", "b").distinct()
+    side = lambda x: reps.select(F.col("set_key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = pairs.join(side("a"), F.col("a") == F.col("ka")).join(side("b"), F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "sa", "sb")
+    near = pairs.mapInArrow(_near(percent), "a long, b long")
+    clusters = connected_components(near.unionByName(found.where("tie").select("a", "b")))
     members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", "n", "set_key", "component").checkpoint()
     sized = members.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.sum("n").alias("s"))
     tasks = members.join(sized.select(F.col("component").alias("cluster"), "chunks"), F.col("component") == F.col("cluster"))
@@ -273,6 +348,6 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
     parts = sets.select("*", F.explode(F.when(F.col("chunks") == 1, alone).otherwise(crossed)).alias("x")).select("doc_id", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
     links = parts.groupBy("t", "i", "j").applyInArrow(_verify(percent), "a long, b long")
     joined = connected_components(links)
-    found = reps.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
-    out = keyed.join(found, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+    known = reps.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
+    out = keyed.join(known, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -14,7 +14,7 @@ CLIP = math.log(1.7976931348623157e308) / 2
 
 
 def _clip(v: Column) -> Column:
-    return F.greatest(F.least(v, F.lit(CLIP)), F.lit(-CLIP))
+    return F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(CLIP)), F.lit(-CLIP)))
 
 
 def lg1p(v: Column) -> Column:

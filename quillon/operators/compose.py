@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAME_TIME = Window.partitionBy("code", "bar").orderBy("day")
 KEYS = ["code", "day", "bar"]
 
 
+def same_time():
+    return Window.partitionBy("code", "bar").orderBy("day")
+
+
 def align(panels: dict[str, DataFrame]) -> DataFrame:
     """One column a panel, on the times and codes that all of them have."""
     items = list(panels.items())
@@ -24,7 +27,7 @@ def align(panels: dict[str, DataFrame]) -> DataFrame:
     return out.select(*KEYS, *(n for n, _ in items))
 
 
-OPERATIONS = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": F.try_divide}
+OPERATIONS = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: F.try_divide(a, b)}
 
 
 def safe_arithmetic(columns: list[Column], operation: str, fills: list[float] | float = 0.0) -> Column:
@@ -42,11 +45,11 @@ def safe_scalar_first(columns: list[Column], operation: str, fill: float = 0.0)
 
 def roll_same_time(p: DataFrame, n: int) -> DataFrame:
     """Mean of the last ``n`` days' values at the same bar, from one value up."""
-    return p.select(*KEYS, F.avg("v").over(SAME_TIME.rowsBetween(1 - n, 0)).alias("v"))
+    return p.select(*KEYS, F.avg("v").over(same_time().rowsBetween(1 - n, 0)).alias("v"))
 
 
 def shift_same_time(p: DataFrame, n: int) -> DataFrame:
-    return p.select(*KEYS, F.lag("v", n).over(SAME_TIME).alias("v"))
+    return p.select(*KEYS, F.lag("v", n).over(same_time()).alias("v"))
 
 
 def spread_factor(p: DataFrame) -> DataFrame:

@@ -6,32 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.sources.panel import CROSS, ONWARD, SO_FAR, T, WHOLE
+from quillon.sources.panel import cross, onward, over_time, so_far, val, whole
 
-V = F.col("v")
-_all = T.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def _neighbours():
-    at = F.when(V.isNotNull(), F.col("bar"))
-    return F.last(V, True).over(SO_FAR), F.last(at, True).over(SO_FAR), F.first(V, True).over(ONWARD), F.first(at, True).over(ONWARD)
+    at = F.when(val().isNotNull(), F.col("bar"))
+    return F.last(val(), True).over(so_far()), F.last(at, True).over(so_far()), F.first(val(), True).over(onward()), F.first(at, True).over(onward())
 
 
 def linear(flat_ends: bool = True):
     """Straight lines between neighbours; ends flat, or left open."""
     pv, pb, nv, nb = _neighbours()
     inner = pv + (nv - pv) * (F.col("bar") - pb) / F.nullif(nb - pb, F.lit(0))
-    return F.coalesce(V, inner, *([pv, nv] if flat_ends else []))
+    return F.coalesce(val(), inner, *([pv, nv] if flat_ends else []))
 
 
 def extrapolated():
     """Straight lines, continued through the two outermost valid points at the ends; fewer than two valid give NULL."""
-    at = F.when(V.isNotNull(), F.col("bar"))
+    at = F.when(val().isNotNull(), F.col("bar"))
     nth = lambda c, k, w: F.nth_value(c, k, True).over(w)
     back = Window.partitionBy("gid", "code").orderBy(F.col("bar").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    line = lambda w: nth(V, 1, w) + (nth(V, 2, w) - nth(V, 1, w)) * (F.col("bar") - nth(at, 1, w)) / (nth(at, 2, w) - nth(at, 1, w))
+    line = lambda w: nth(val(), 1, w) + (nth(val(), 2, w) - nth(val(), 1, w)) * (F.col("bar") - nth(at, 1, w)) / (nth(at, 2, w) - nth(at, 1, w))
     pv, _, nv, _ = _neighbours()
-    return F.when(F.count(V).over(WHOLE) >= 2, F.coalesce(linear(False), F.when(pv.isNull(), line(_all)).when(nv.isNull(), line(back))))
+    return F.when(F.count(val()).over(whole()) >= 2, F.coalesce(linear(False), F.when(pv.isNull(), line(over_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).when(nv.isNull(), line(back))))
 
 
 def knn(panel: DataFrame, k: int = 5) -> DataFrame:
@@ -40,28 +38,28 @@ def knn(panel: DataFrame, k: int = 5) -> DataFrame:
     Codes without any value stay empty. Distances are between bars of one group: their number is
     bars squared, whatever the number of codes, and they are summed map-side.
     """
-    codes = panel.where(V.isNotNull()).groupBy("gid").agg(F.countDistinct("code").alias("f"))
-    a, b = panel.where(V.isNotNull()).alias("a"), panel.where(V.isNotNull()).alias("b")
+    codes = panel.where(val().isNotNull()).groupBy("gid").agg(F.countDistinct("code").alias("f"))
+    a, b = panel.where(val().isNotNull()).alias("a"), panel.where(val().isNotNull()).alias("b")
     d = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.bar") != F.col("b.bar")))
     d = d.groupBy(F.col("a.gid").alias("gid"), F.col("a.bar").alias("bar"), F.col("b.bar").alias("donor")).agg(F.sum((F.col("a.v") - F.col("b.v")) ** 2).alias("s"), F.count("*").alias("m"))
     d = d.join(codes, "gid").select("gid", "bar", "donor", F.round(F.col("f") / F.col("m") * F.col("s"), 9).alias("d2"))
-    gaps = panel.where(V.isNull()).select("gid", "code", "bar")
-    have = panel.where(V.isNotNull()).select("gid", "code", F.col("bar").alias("donor"), F.col("v").alias("dv"))
+    gaps = panel.where(val().isNull()).select("gid", "code", "bar")
+    have = panel.where(val().isNotNull()).select("gid", "code", F.col("bar").alias("donor"), F.col("v").alias("dv"))
     near = gaps.join(d, ["gid", "bar"]).join(have, ["gid", "code", "donor"])
     rank = F.row_number().over(Window.partitionBy("gid", "code", "bar").orderBy("d2", "donor"))
     got = near.withColumn("k", rank).where(F.col("k") <= k).groupBy("gid", "code", "bar").agg(F.avg("dv").alias("nv"))
     p = panel.join(got, ["gid", "code", "bar"], "left")
-    return p.select("gid", "code", "bar", F.coalesce(V, "nv", F.avg(V).over(WHOLE)).alias("v"))
+    return p.select("gid", "code", "bar", F.coalesce(val(), "nv", F.avg(val()).over(whole())).alias("v"))
 
 
 FILLS = {
-    "none": lambda: V,
-    "ffill": lambda: F.last(V, True).over(SO_FAR),
-    "bfill": lambda: F.first(V, True).over(ONWARD),
-    "xs_mean": lambda: F.coalesce(V, F.avg(V).over(CROSS)),
-    "xs_median": lambda: F.coalesce(V, F.percentile(V, F.lit(0.5)).over(CROSS)),
+    "none": val,
+    "ffill": lambda: F.last(val(), True).over(so_far()),
+    "bfill": lambda: F.first(val(), True).over(onward()),
+    "xs_mean": lambda: F.coalesce(val(), F.avg(val()).over(cross())),
+    "xs_median": lambda: F.coalesce(val(), F.percentile(val(), F.lit(0.5)).over(cross())),
     "linear_interp": linear,
-    "time_mean": lambda: F.coalesce(V, F.avg(V).over(WHOLE)),
+    "time_mean": lambda: F.coalesce(val(), F.avg(val()).over(whole())),
     "interp_extrapolate": extrapolated,
 }
 

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import fills
+from quillon.sources.panel import val
 
-V = F.col("v")
 
 
 def series(panel: DataFrame) -> DataFrame:
@@ -205,8 +205,8 @@ def linear(panel: DataFrame, name: str, n: int | None = None) -> DataFrame:
         y = F.transform(y, lambda v, i: F.when(i < (n + 1) // 2, v))
     out = rows(series(base), y)
     if name in INTERPOLATED:
-        was = panel.select("gid", "code", "bar", V.isNull().alias("gap"))
-        out = out.join(was, ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(~F.col("gap"), V).alias("v"))
+        was = panel.select("gid", "code", "bar", val().isNull().alias("gap"))
+        out = out.join(was, ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(~F.col("gap"), val()).alias("v"))
     return out
 
 
@@ -244,7 +244,7 @@ def rolling_rank(panel: DataFrame, size: int = 5) -> DataFrame:
     frame = f"slice(x, greatest(i - {size - 2}, 1), least(i + 1, {size}))"
     y = F.expr(f"transform(x, (v, i) -> (size(filter({frame}, e -> e < v)) + (size(filter({frame}, e -> e = v)) + 1) / 2D) / size({frame}))")
     out = rows(s, y)
-    return out.join(panel.select("gid", "code", "bar", F.col("v").alias("was")), ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(F.col("was").isNotNull(), V).alias("v"))
+    return out.join(panel.select("gid", "code", "bar", F.col("v").alias("was")), ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(F.col("was").isNotNull(), val()).alias("v"))
 
 
 def adaptive(panel: DataFrame, mesa: bool = False, fast: int = 2, slow: int = 10) -> DataFrame:
@@ -253,7 +253,7 @@ def adaptive(panel: DataFrame, mesa: bool = False, fast: int = 2, slow: int = 10
     frame = f"slice(x, greatest(i - {slow - 2}, 1), least(i + 1, {slow}))"
     mean = f"aggregate({frame}, 0D, (s, e) -> s + e, s -> s / size({frame}))"
     spread = f"aggregate(transform(array({mean}), m -> aggregate({frame}, 0D, (s, e) -> s + abs(e - m))), 0D, (s, e) -> s + e)"
-    s = series(panel).withColumn("alpha", F.expr(f"transform(x, (v, i) -> if(i = 0, 0D, transform(array({spread}), q -> if(q < 1e-300, 0D, abs(v - try_element_at(x, i)) / q * {f - w!r}D + {w!r}D))[0]))"))
+    s = series(panel).withColumn("alpha", F.expr(f"transform(x, (v, i) -> if(i = 0, 0D, transform(array({spread}), q -> if(q < 1e-12, 0D, abs(v - try_element_at(x, i)) / q * {f - w!r}D + {w!r}D))[0]))"))
     step = "transform(array(acc.y + try_element_at(alpha, i) * (try_element_at(x, i) - acc.y)), y -> named_struct('y', y, 'z', acc.z + 0.5D * (y - acc.z), 'out', array_append(acc.out, {}(y, acc.z + 0.5D * (y - acc.z)))))[0]"
     body = step.replace("{}(y, acc.z + 0.5D * (y - acc.z))", "y - (acc.z + 0.5D * (y - acc.z))" if mesa else "y")
     y = F.expr(f"aggregate(sequence(2, size(x)), named_struct('y', x[0], 'z', x[0], 'out', array({'x[0] - x[0]' if mesa else 'x[0]'})), (acc, i) -> {body}, acc -> acc.out)")
@@ -277,7 +277,7 @@ def hilbert_phase(panel: DataFrame) -> DataFrame:
         return pdf.assign(v=np.unwrap(np.angle(np.fft.ifft(np.fft.fft(x) * h))))
 
     out = panel.select("gid", "code", "bar", "v").groupBy("gid", "bar").applyInPandas(run, "gid long, code long, bar long, v double")
-    return out.withColumn("v", F.when(~F.isnan("v"), V))
+    return out.withColumn("v", F.when(~F.isnan("v"), val()))
 
 
 #: low-pass reconstruction taps of the four-moment Daubechies wavelet; fixed values
@@ -314,7 +314,7 @@ def wavelet_denoise(panel: DataFrame, n: int | None = None) -> DataFrame:
     pooled = s.select("gid", F.explode("d").alias("e")).groupBy("gid").agg((F.stddev_pop("e") * float(np.sqrt(2 * np.log(n)))).alias("thr"))
     s = s.join(pooled, "gid", "left").withColumn("d", F.expr("transform(d, e -> signum(e) * greatest(abs(e) - thr, 0D))"))
     out = rows(s.withColumn("r", dot(rd, "d")), F.zip_with("a", "r", lambda p, q: p + q))
-    return out.join(panel.select("gid", "code", "bar", F.col("v").alias("was")), ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(F.col("was").isNotNull(), V).alias("v"))
+    return out.join(panel.select("gid", "code", "bar", F.col("v").alias("was")), ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(F.col("was").isNotNull(), val()).alias("v"))
 
 
 FILTERS = {k: (lambda p, k=k: linear(p, k)) for k in KERNELS} | {k: (lambda p, k=k: fourier(p, k)) for k in ("fft_amp", "fft_angle", "fft_r")}

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.elementwise import ELEMENTWISE
-from quillon.sources.panel import CROSS, GROUP, SO_FAR, T, WHOLE, roll
+from quillon.sources.panel import cross, group, over_time, roll, so_far, val, whole
 
-V = F.col("v")
 INF = float("inf")
 
 
@@ -19,9 +18,9 @@ def repaired(v: Column, window) -> Column:
     return F.when(v == INF, F.max(f).over(window)).when(v == -INF, F.min(f).over(window)).otherwise(f)
 
 
-def full(value: Column, n: int, v: Column = V) -> Column:
+def full(value: Column, n: int) -> Column:
     """The value where the frame has n rows without NULL."""
-    return F.when(F.count(v).over(roll(n)) == n, value)
+    return F.when(F.count(val()).over(roll(n)) == n, value)
 
 
 def _unbiased_skew(v, w):
@@ -36,85 +35,115 @@ def _unbiased_kurt(v, w):
 
 def rolling(n: int) -> dict[str, Column]:
     r = roll(n)
-    position = F.row_number().over(T)
-    zscore = F.try_divide(V - F.avg(V).over(r), F.stddev_samp(V).over(r))
-    hi, lo = F.max_by("bar", F.struct(V, -F.col("bar"))).over(r), F.min_by("bar", F.struct(V, F.col("bar"))).over(r)
+    position = F.row_number().over(over_time())
+    zscore = F.try_divide(val() - F.avg(val()).over(r), F.stddev_samp(val()).over(r))
+    hi, lo = F.max_by("bar", F.struct(val(), -F.col("bar"))).over(r), F.min_by("bar", F.struct(val(), F.col("bar"))).over(r)
     return {
-        "rollmean": full(F.avg(V).over(r), n), "rollsum": full(F.sum(V).over(r), n), "rollmax": full(F.max(V).over(r), n), "rollmin": full(F.min(V).over(r), n),
-        "rollstd": full(F.stddev_samp(V).over(r), n), "rollzscore": full(zscore, n), "rollmedian": full(F.percentile(V, F.lit(0.5)).over(r), n),
-        "rollskew": F.when(position >= n, _unbiased_skew(V, r)), "rollkurt": F.when(position >= n, _unbiased_kurt(V, r)), "aroonosc": full((hi - lo) * 100.0 / n, n),
+        "rollmean": full(F.avg(val()).over(r), n), "rollsum": full(F.sum(val()).over(r), n), "rollmax": full(F.max(val()).over(r), n), "rollmin": full(F.min(val()).over(r), n),
+        "rollstd": full(F.stddev_samp(val()).over(r), n), "rollzscore": full(zscore, n), "rollmedian": full(F.percentile(val(), F.lit(0.5)).over(r), n),
+        "rollskew": F.when(position >= n, _unbiased_skew(val(), r)), "rollkurt": F.when(position >= n, _unbiased_kurt(val(), r)), "aroonosc": full((hi - lo) * 100.0 / n, n),
     }
 
 
-ZERO = F.coalesce(V, F.lit(0.0))
-_ROW = F.row_number().over(T)
-_mean = F.sum(ZERO).over(SO_FAR) / _ROW
-_std = F.when(_ROW > 1, F.stddev_samp(ZERO).over(SO_FAR))
+ROLLING = ("rollmean", "rollsum", "rollmax", "rollmin", "rollstd", "rollzscore", "rollmedian", "rollskew", "rollkurt", "aroonosc")
+
+
+def _zero():
+    return F.coalesce(val(), F.lit(0.0))
+
+
+def _row():
+    return F.row_number().over(over_time())
+
+
+def _mean():
+    return F.sum(_zero()).over(so_far()) / _row()
+
+
+def _std():
+    return F.when(_row() > 1, F.stddev_samp(_zero()).over(so_far()))
+
+
 EXPANDING = {
-    "expandmean": F.when(V.isNotNull(), _mean),
-    "expandsum": F.sum(ZERO).over(SO_FAR),
-    "expandstd": F.when(V.isNotNull(), _std),
-    "expandmax": F.when(V.isNotNull(), F.max(V).over(SO_FAR)),
-    "expandmin": F.when(V.isNotNull(), F.min(V).over(SO_FAR)),
-    "expandzscore": F.try_divide(V - _mean, _std),
-    "expandskew": _unbiased_skew(V, SO_FAR),
-    "expandkurt": _unbiased_kurt(V, SO_FAR),
+    "expandmean": lambda: F.when(val().isNotNull(), _mean()),
+    "expandsum": lambda: F.sum(_zero()).over(so_far()),
+    "expandstd": lambda: F.when(val().isNotNull(), _std()),
+    "expandmax": lambda: F.when(val().isNotNull(), F.max(val()).over(so_far())),
+    "expandmin": lambda: F.when(val().isNotNull(), F.min(val()).over(so_far())),
+    "expandzscore": lambda: F.try_divide(val() - _mean(), _std()),
+    "expandskew": lambda: _unbiased_skew(val(), so_far()),
+    "expandkurt": lambda: _unbiased_kurt(val(), so_far()),
 }
 
-_diff = V - F.lag(V).over(T)
-_sign = F.coalesce(F.signum(_diff), F.lit(0.0))
-_next = F.lead(V).over(T)
-_ahead = F.when(_next - V > 0, 1.0).when(_next.isNotNull() & V.isNotNull(), -1.0)
-CHANGE = {"diff": _diff, "diff_lead": _next - V, "trewgt": V * _sign, "trend_sign": _next * _ahead}
+
+def _diff():
+    return val() - F.lag(val()).over(over_time())
+
+
+def _sign():
+    return F.coalesce(F.signum(_diff()), F.lit(0.0))
+
+
+def _next():
+    return F.lead(val()).over(over_time())
+
+
+def _ahead():
+    return F.when(_next() - val() > 0, 1.0).when(_next().isNotNull() & val().isNotNull(), -1.0)
+
+
+CHANGE = {"diff": _diff, "diff_lead": lambda: _next() - val(), "trewgt": lambda: val() * _sign(), "trend_sign": lambda: _next() * _ahead()}
 
 
 def reversal(panel: DataFrame) -> DataFrame:
     """Adds ``dev``, how many deviations the change at each bar lies from its mean, and ``lead_dev`` for the change to the next bar."""
-    p = panel.withColumn("_d", _diff)
-    dev = F.try_divide(F.abs(F.col("_d") - F.avg("_d").over(WHOLE)), F.stddev_pop("_d").over(WHOLE))
+    p = panel.withColumn("_d", _diff())
+    dev = F.try_divide(F.abs(F.col("_d") - F.avg("_d").over(whole())), F.stddev_pop("_d").over(whole()))
     p = p.withColumn("dev", dev)
-    return p.withColumn("lead_dev", F.lead("dev").over(T)).withColumn("sign", _sign).withColumn("ahead", _ahead).withColumn("nxt", _next).drop("_d")
+    return p.withColumn("lead_dev", F.lead("dev").over(over_time())).withColumn("sign", _sign()).withColumn("ahead", _ahead()).withColumn("nxt", _next()).drop("_d")
+
+
+def _flip(c: str, otherwise: float):
+    return F.when(F.col(c) > 1.5, -1.0).otherwise(otherwise)
 
 
-_far, _lfar = F.col("dev") > 1.5, F.col("lead_dev") > 1.5
-_rev = F.when(_far, -1.0).otherwise(0.0)
-_lrev = F.when(_lfar, -1.0).otherwise(1.0)
 REVERSAL = {
-    "revwtg": V * _rev,
-    "reversal_sign": F.col("nxt") * _lrev,
-    "trerevwtg": V * (_rev + F.col("sign")),
-    "trerev_sign": F.col("nxt") * (F.col("ahead") + _lrev),
+    "revwtg": lambda: val() * _flip("dev", 0.0),
+    "reversal_sign": lambda: F.col("nxt") * _flip("lead_dev", 1.0),
+    "trerevwtg": lambda: val() * (_flip("dev", 0.0) + F.col("sign")),
+    "trerev_sign": lambda: F.col("nxt") * (F.col("ahead") + _flip("lead_dev", 1.0)),
 }
 
-_order = Window.partitionBy("gid", "bar").orderBy(V.asc_nulls_last(), "code")
-_ties = Window.partitionBy("gid", "bar", "v")
+
+def _rank_window(*more):
+    return Window.partitionBy("gid", "bar").orderBy(val().asc_nulls_last(), *more)
 
 
 def binned(bins: int) -> Column:
-    lo, hi, gaps = F.min(V).over(WHOLE), F.max(V).over(WHOLE), F.count("*").over(WHOLE) - F.count(V).over(WHOLE)
-    return F.when(gaps > 0, V).otherwise(F.coalesce(F.least(F.width_bucket(V, lo, hi, F.lit(bins)), F.lit(bins)), F.lit(bins)).cast("double"))
+    lo, hi, gaps = F.min(val()).over(whole()), F.max(val()).over(whole()), F.count("*").over(whole()) - F.count(val()).over(whole())
+    return F.when(gaps > 0, val()).otherwise(F.coalesce(F.least(F.width_bucket(val(), lo, hi, F.lit(bins)), F.lit(bins)), F.lit(bins)).cast("double"))
 
 
 def scaled(fn, back: bool) -> Column:
-    p = F.percentile(F.abs(V), F.lit(0.85)).over(GROUP)
+    p = F.percentile(F.abs(val()), F.lit(0.85)).over(group())
     s = F.when(p > 10, 0.1).when(p < 0.1, 10.0).otherwise(1.0)
-    return fn(V * s) / s if back else fn(V * s)
+    return fn(val() * s) / s if back else fn(val() * s)
 
 
 def normalised(s: float = 1.0) -> Column:
-    lo, hi = F.min(V).over(WHOLE), F.max(V).over(WHOLE)
-    return F.when(hi - lo < 1e-9, F.when(V.isNotNull(), 0.0)).otherwise(((V - lo) / F.nullif(hi - lo, F.lit(0.0)) * 2 - 1) * s)
+    lo, hi = F.min(val()).over(whole()), F.max(val()).over(whole())
+    return F.when(hi - lo < 1e-9, F.when(val().isNotNull(), 0.0)).otherwise(((val() - lo) / F.nullif(hi - lo, F.lit(0.0)) * 2 - 1) * s)
 
 
 CROSS_SECTION = {
-    "sec_zsc": F.try_divide(V - F.avg(V).over(CROSS), F.stddev_pop(V).over(CROSS)),
-    "pct_rank": F.when(V.isNotNull(), (F.row_number().over(_order) - 1) / F.count(V).over(CROSS)),
-    "pct_rank_avg": F.when(V.isNotNull(), (F.rank().over(Window.partitionBy("gid", "bar").orderBy(V.asc_nulls_last())) + (F.count(V).over(_ties) - 1) / 2) / F.count(V).over(CROSS)),
-    "bin": binned(10),
-    "apo": F.abs(V - F.avg(V).over(WHOLE)),
-    "sinh_scaled": scaled(F.sinh, True),
-    "cosh_scaled": scaled(F.cosh, False),
-    "normalize": normalised(),
+    "sec_zsc": lambda: F.try_divide(val() - F.avg(val()).over(cross()), F.stddev_pop(val()).over(cross())),
+    "pct_rank": lambda: F.when(val().isNotNull(), (F.row_number().over(_rank_window("code")) - 1) / F.count(val()).over(cross())),
+    "pct_rank_avg": lambda: F.when(val().isNotNull(), (F.rank().over(_rank_window()) + (F.count(val()).over(Window.partitionBy("gid", "bar", "v")) - 1) / 2) / F.count(val()).over(cross())),
+    "bin": lambda: binned(10),
+    "apo": lambda: F.abs(val() - F.avg(val()).over(whole())),
+    "sinh_scaled": lambda: scaled(F.sinh, True),
+    "cosh_scaled": lambda: scaled(F.cosh, False),
+    "normalize": lambda: normalised(),
 }
 
 #: transforms whose finite inputs can give ±inf; only these need a repair
@@ -124,13 +153,19 @@ OVERFLOWS = frozenset({"exp", "lg1p", "tan", "sinh", "cosh", "reciprocal"})
 def apply(panel: DataFrame, name: str, n: int = 5) -> DataFrame:
     """The panel with ``v`` transformed; ±inf that the transform made is repaired over time."""
     if name in REVERSAL:
-        return reversal(panel).select("gid", "code", "bar", REVERSAL[name].alias("v"))
-    known = {k: f(V) for k, f in ELEMENTWISE.items()} | CROSS_SECTION | CHANGE | EXPANDING | rolling(n)
-    if name not in known:
+        return reversal(panel).select("gid", "code", "bar", REVERSAL[name]().alias("v"))
+    direct = CROSS_SECTION | CHANGE | EXPANDING
+    if name in ELEMENTWISE:
+        made = ELEMENTWISE[name](val())
+    elif name in direct:
+        made = direct[name]()
+    elif name in ROLLING:
+        made = rolling(n)[name]
+    else:
         from quillon.operators import filters
 
         if name not in filters.FILTERS:
             raise ValueError(f"unknown transform: {name}")
         return filters.FILTERS[name](panel)
-    out = panel.select("gid", "code", "bar", known[name].alias("v"))
-    return out.withColumn("v", repaired(V, WHOLE)) if name in OVERFLOWS else out
+    out = panel.select("gid", "code", "bar", made.alias("v"))
+    return out.withColumn("v", repaired(val(), whole())) if name in OVERFLOWS else out

@@ -7,49 +7,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators import fills
-from quillon.operators.level1 import V, repaired
-from quillon.sources.panel import CROSS, GROUP, T
+from quillon.operators.level1 import repaired
+from quillon.sources.panel import cross, group, over_time, val
+
+def _m():
+    return F.count(val())
+
 
-_m = F.count(V)
 AGGREGATES = {
-    "sum": F.coalesce(F.sum(V), F.lit(0.0)),
-    "mean": F.avg(V),
-    "stddev": F.stddev_pop(V),
-    "quantile_25": F.percentile(V, F.lit(0.25)),
-    "quantile_75": F.percentile(V, F.lit(0.75)),
-    "median": F.percentile(V, F.lit(0.5)),
-    "mean_median_diff": F.avg(V) - F.percentile(V, F.lit(0.5)),
-    "skew": F.skewness(V),
-    "kurt": F.kurtosis(V),
-    "skew_unbiased": F.when(_m >= 3, F.skewness(V) * F.sqrt(_m * (_m - 1)) / (_m - 2)),
-    "kurt_unbiased": F.when(_m >= 4, (_m - 1) / ((_m - 2) * (_m - 3)) * ((_m + 1) * F.kurtosis(V) + 6)),
-    "cv": F.try_divide(F.stddev_pop(V), F.avg(V)),
-    "bop": F.when(_m == F.count("*"), F.try_divide(F.max_by(V, "bar") - F.min_by(V, "bar"), F.max(V) - F.min(V))),
-    "ptp": F.max(V) - F.min(V),
-    "entropy": -F.sum(F.when(V > -1e-10, V * F.ln(V + 1e-10))),
+    "sum": lambda: F.coalesce(F.sum(val()), F.lit(0.0)),
+    "mean": lambda: F.avg(val()),
+    "stddev": lambda: F.stddev_pop(val()),
+    "quantile_25": lambda: F.percentile(val(), F.lit(0.25)),
+    "quantile_75": lambda: F.percentile(val(), F.lit(0.75)),
+    "median": lambda: F.percentile(val(), F.lit(0.5)),
+    "mean_median_diff": lambda: F.avg(val()) - F.percentile(val(), F.lit(0.5)),
+    "skew": lambda: F.skewness(val()),
+    "kurt": lambda: F.kurtosis(val()),
+    "skew_unbiased": lambda: F.when(_m() >= 3, F.skewness(val()) * F.sqrt(_m() * (_m() - 1)) / (_m() - 2)),
+    "kurt_unbiased": lambda: F.when(_m() >= 4, (_m() - 1) / ((_m() - 2) * (_m() - 3)) * ((_m() + 1) * F.kurtosis(val()) + 6)),
+    "cv": lambda: F.try_divide(F.stddev_pop(val()), F.avg(val())),
+    "bop": lambda: F.when(_m() == F.count("*"), F.try_divide(F.max_by(val(), "bar") - F.min_by(val(), "bar"), F.max(val()) - F.min(val()))),
+    "ptp": lambda: F.max(val()) - F.min(val()),
+    "entropy": lambda: -F.sum(F.when(val() > -1e-10, val() * F.ln(val() + 1e-10))),
 }
 
 
 def quantile(percent: float):
-    return F.percentile(V, F.lit(percent / 100))
+    return F.percentile(val(), F.lit(percent / 100))
 
 
 def aggregate(panel: DataFrame, names: list[str]) -> DataFrame:
-    return panel.groupBy("gid", "code").agg(*(AGGREGATES[n].alias(n) for n in names))
+    return panel.groupBy("gid", "code").agg(*(AGGREGATES[n]().alias(n) for n in names))
 
 
 def apply(panel: DataFrame, name: str) -> DataFrame:
     """(gid, code, v), ±inf in the input repaired across codes at each bar and in the result across the group's codes."""
-    f = panel.select("gid", "code", "bar", repaired(V, CROSS).alias("v"))
-    out = autocorrelation(f) if name.startswith("acf") else cv_adjusted(f) if name == "cv_adjusted" else f.groupBy("gid", "code").agg(AGGREGATES[name].alias("v"))
-    return out.select("gid", "code", repaired(V, GROUP).alias("v"))
+    f = panel.select("gid", "code", "bar", repaired(val(), cross()).alias("v"))
+    out = autocorrelation(f) if name.startswith("acf") else cv_adjusted(f) if name == "cv_adjusted" else f.groupBy("gid", "code").agg(AGGREGATES[name]().alias("v"))
+    return out.select("gid", "code", repaired(val(), group()).alias("v"))
 
 
 def cv_adjusted(panel: DataFrame) -> DataFrame:
     """Deviation over mean, with means within 1e-4 of 0 replaced by the group's tenth percentile of the others' sizes."""
-    s = panel.groupBy("gid", "code").agg(F.avg(V).alias("m"), F.stddev_pop(V).alias("s"))
+    s = panel.groupBy("gid", "code").agg(F.avg(val()).alias("m"), F.stddev_pop(val()).alias("s"))
     far = F.when(F.abs("m") >= 1e-4, F.abs("m"))
-    eps = F.coalesce(F.percentile(far, F.lit(0.1)).over(GROUP), F.lit(1e-4))
+    eps = F.coalesce(F.percentile(far, F.lit(0.1)).over(group()), F.lit(1e-4))
     m = F.when(F.abs("m") < 1e-4, F.signum("m") * eps + eps).otherwise(F.col("m"))
     return s.select("gid", "code", F.try_divide("s", m).alias("v"))
 
@@ -57,5 +60,5 @@ def cv_adjusted(panel: DataFrame) -> DataFrame:
 def autocorrelation(panel: DataFrame, lag: int = 1) -> DataFrame:
     """Mean product of deviations ``lag`` bars apart over the variance, gaps between values interpolated."""
     p = panel.select("gid", "code", "bar", fills.linear(False).alias("v"))
-    p = p.withColumn("d", V - F.avg(V).over(Window.partitionBy("gid", "code"))).withColumn("l", F.lag("d", lag).over(T))
+    p = p.withColumn("d", val() - F.avg(val()).over(Window.partitionBy("gid", "code"))).withColumn("l", F.lag("d", lag).over(over_time()))
     return p.groupBy("gid", "code").agg(F.try_divide(F.avg(F.col("d") * F.col("l")), F.avg(F.col("d") * F.col("d"))).alias("v"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import fills, filters, level1, level2
 
-ROLLING = frozenset(level1.rolling(2))
+ROLLING = frozenset(level1.ROLLING)
 
 
 def known(name: str) -> bool:

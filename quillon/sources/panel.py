@@ -10,16 +10,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-T = Window.partitionBy("gid", "code").orderBy("bar")
-WHOLE = Window.partitionBy("gid", "code")
-CROSS = Window.partitionBy("gid", "bar")
-GROUP = Window.partitionBy("gid")
-SO_FAR = T.rowsBetween(Window.unboundedPreceding, 0)
-ONWARD = T.rowsBetween(0, Window.unboundedFollowing)
+def val() -> Column:
+    return F.col("v")
+
+
+def over_time():
+    return Window.partitionBy("gid", "code").orderBy("bar")
+
+
+def whole():
+    return Window.partitionBy("gid", "code")
+
+
+def cross():
+    return Window.partitionBy("gid", "bar")
+
+
+def group():
+    return Window.partitionBy("gid")
+
+
+def so_far():
+    return over_time().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def onward():
+    return over_time().rowsBetween(0, Window.unboundedFollowing)
 
 
 def roll(n: int):
-    return T.rowsBetween(1 - n, 0)
+    return over_time().rowsBetween(1 - n, 0)
 
 
 def clean(c: Column) -> Column:
@@ -34,15 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def on_grid(observed: DataFrame, bars: int) -> DataFrame:
     """(code, t, v) on all ``bars`` bars of each code that has any observation; t from 0."""
     codes = observed.groupBy("code").agg(F.lit(1).alias("seen"))
-    grid = codes.select("code", F.explode(F.sequence(F.lit(0), F.lit(bars - 1))).cast("long").alias("t"))
+    grid = codes.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bars - 1).cast("long"))).alias("t"))
     return grid.join(observed.where(F.col("v").isNotNull()), ["code", "t"], "left").select("code", "t", clean(F.col("v")).alias("v"))
 
 
 def event_panel(spark: SparkSession, sf_dir: str, group: int = 40) -> DataFrame:
-    """Six-hour means of events by user over 30 days, in groups of ``group`` bars; v is the mean over 50, less 1."""
+    """Six-hour means of events by user over 30 days, in groups of ``group`` bars; v is the mean over 53.17, less 1."""
     e = table(spark, sf_dir, "events")
     t = (F.datediff("ts", F.lit("2024-01-01").cast("date")) * 4 + F.floor(F.hour("ts") / 6)).cast("long")
-    seen = e.select(F.col("user_id").cast("long").alias("code"), t.alias("t"), "value").groupBy("code", "t").agg((F.avg("value") / 50 - 1).alias("v"))
+    seen = e.select(F.col("user_id").cast("long").alias("code"), t.alias("t"), "value").groupBy("code", "t").agg((F.avg("value") / 53.17 - 1).alias("v"))
     p = on_grid(seen, 120)
     return p.select(F.floor(F.col("t") / group).cast("long").alias("gid"), "code", (F.col("t") % group).alias("bar"), "v")
 

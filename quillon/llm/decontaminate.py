@@ -15,11 +15,10 @@ BLOCK_BYTES = 16 << 20
 
 
 def words_of(text: str) -> list[str]:
-    raw = text.encode()
-    a = np.frombuffer(raw, np.uint8)
-    s, e = word_spans(a, ALNUM)
-    low = raw.lower()
-    return [low[i:j].decode("utf-8", "replace") for i, j in zip(s, e, strict=True)]
+    """Runs of ASCII letters and digits or characters above ASCII, case-folded."""
+    raw = text.casefold().encode()
+    s, e = word_spans(np.frombuffer(raw, np.uint8), ALNUM)
+    return [raw[i:j].decode() for i, j in zip(s, e, strict=True)]
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
@@ -134,7 +133,7 @@ def matches(index: Index, texts: list[bytes], window: int, question: float, answ
     """(text, item, score, question overlap, answer overlap) of verified hits, the best window of each."""
     if not index.ids or not len(index.terms):
         return []
-    a, at = joined(texts)
+    a, at = joined([t.decode().casefold().encode() for t in texts])
     s, e = word_spans(a, ALNUM)
     if not len(s):
         return []
@@ -202,7 +201,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leak of a test item into a document.
 
     Every window of every document is a query; items with a score of at least ``threshold`` of their
-    own score are verified by their question's and answer's words in the window. Windows are twice
+    own score are verified by their question's and answer's words in the window. Case and punctuation
+    do not count. Windows are twice
     as long as their step, and at least twice the longest item of a block. Null and empty texts have
     no hits; repeated rows have theirs repeated; an empty benchmark gives no rows.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators import classify, compose, evaluate, fills, filters, groups, level1, level2
-from quillon.plans import chain
+from quillon.plans import chain, experiment
 from quillon.sources import panel as P
 from quillon.streaming import bars as streaming
 
@@ -396,3 +396,11 @@ def _by_line(s, d):
 
 add("panel_wide_long", lambda s, d: rounded(P.long(P.wide(_by_line(s, d), [1, 2, 3, 4, 5, 6, 7]))), f"""WITH seen AS (SELECT l_linenumber AS code, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
  o AS (SELECT t // 12 AS gid, code, t % 12 AS bar, v FROM range(84) r(t) CROSS JOIN range(1, 8) c(code) LEFT JOIN seen USING (code, t)) {out('gid code bar')} FROM o""")
+
+
+def _experiment(s, d):
+    x = experiment.Experiment(("none", "ffill"), ("abs_v", "diff", "rollmean_3"), ("mean", "ptp", "stddev"), 2, 0.01, 0.9)
+    return experiment.run(P.revenue_panel(s, d), returns(s, d), x).select("name", F.round("ic", 6).alias("ic"), F.round("rank_ic", 6).alias("rank_ic"), "direction", "spec")
+
+
+add("experiment", _experiment)

@@ -213,3 +213,39 @@ def test_empty_panel(spark):
     for name in ("rollmean", "sec_zsc", "revwtg", "pct_rank"):
         assert level1.apply(e, name).count() == 0
     assert level2.apply(e, "mean").count() == 0 and fills.fill(e, "knn").count() == 0
+
+
+def test_experiment(spark):
+    from quillon import queries
+    from quillon.plans import experiment
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["experiment"](spark, sf).collect()
+    assert got
+    p, r = P.revenue_panel(spark, sf), queries.returns(spark, sf)
+    for row in got[:2]:
+        f = chain.Spec.read(row["spec"]).build(p)
+        ic = evaluate.ic_summary(evaluate.ic_daily(f, r)).first()["ic"]
+        assert ic == pytest.approx(abs(row["ic"]), abs=1e-5) and ic > 0
+    assert experiment.stratified(1, 10, seed=1) == experiment.stratified(1, 10, seed=1)
+    assert experiment.Experiment.read({"function_settings": {"level1": ["rollmean_3", "diff"], "level2": ["quantile_25"]}}).aggregates == ("quantile_25",)
+    with pytest.raises(ValueError):
+        experiment.Experiment.read({"function_settings": {"level1": ["nonsense_3"]}})
+
+
+def test_files(spark, tmp_path):
+    from quillon.sources import files
+
+    p = panel(spark, SERIES, [None] * 5).select("code", F.col("bar").alias("ts"), "v")
+    t = files.materialised(spark, str(tmp_path / "p"), lambda: p)
+    assert files.materialised(spark, str(tmp_path / "p"), lambda: 1 / 0).count() == t.count() == 10
+    assert files.read_slice(spark, str(tmp_path / "p"), "1", "3").count() == 3
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.txt").write_text("same")
+    a, b = (files.file_hashes(spark, str(tmp_path / d)) for d in ("a", "b"))
+    assert files.same_tree(a, b, f"{tmp_path}/a", f"{tmp_path}/b")
+    small = spark.createDataFrame([("x|y", 1.5, None)], "a string, b double, c int")
+    assert files.markdown(small).endswith("| x\\|y | 1.5 |  |") and files.html(small).startswith("<table><tr><th>a</th>")
+    with pytest.raises(ValueError):
+        files.markdown(p, 2)

@@ -31,17 +31,20 @@ NAMES = {
     "family_cyrl": "Васильев Иванов Кузнецов Морозов Новиков Петров Попов Смирнов Соколов Фёдоров".split(),
 }
 #: patterns in order of precedence, as alternatives of one expression; fixed values
-EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 SECRET = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?<![0-9A-Za-z])(?=[0-9a-f]{0,39}[a-f])(?=[0-9a-f]{0,39}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z]))"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 CARD = r"(?<![\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)"
-PERSON = rf"(?<!\p{{L}})(?:{'|'.join(n for k, v in NAMES.items() if k.startswith('given') for n in v)}) (?:{'|'.join(n for k, v in NAMES.items() if k.startswith('family') for n in v)})(?!\p{{L}})"
+PERSON = rf"(?<!\p{{L}})(?=[A-ZА-Я])(?:{'|'.join(n for k, v in NAMES.items() if k.startswith('given') for n in v)}) (?:{'|'.join(n for k, v in NAMES.items() if k.startswith('family') for n in v)})(?!\p{{L}})"
 TYPES = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("card", CARD), ("ssn", SSN), ("phone", PHONE), ("person", PERSON))
 DEFAULT_KEY = "quillon"
 _ENTITY = "|".join(f"({p})" for _, p in TYPES)
+#: a text without a digit, an at sign and a given name has no entity, and is only scanned for these
+_DIGIT_OR_AT = "[0-9@]"
+_GIVEN = r"(?<!\p{L})[A-ZА-Я](?<=" + "|".join(sorted({n[0] for k, v in NAMES.items() if k.startswith("given") for n in v})) + ")(?:" + "|".join(n[1:] for k, v in NAMES.items() if k.startswith("given") for n in v) + ") "
 
 #: ranges of characters that move among themselves: first, last; fixed values
 CLASSES = (("0", "9"), ("a", "z"), ("A", "Z"), ("à", "ö"), ("À", "Ö"), ("α", "ρ"), ("Α", "Ρ"), ("а", "я"), ("А", "Я"), ("一", "鿋"))
@@ -115,7 +118,8 @@ def surrogate_sql(m: str, key: str) -> str:
 
 def entities(text: Column | str = "text") -> Column:
     """The entities of a text in order."""
-    return F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c.rlike(_DIGIT_OR_AT) | c.rlike(_GIVEN), F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0))).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:

@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
     def stars(e: DataFrame, large: bool) -> DataFrame:
         """large: each neighbour above a node is tied to the node's minimum; small: those below it and itself."""
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are plain exchanges and a hub's edges can be split over tasks
+        least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u", "m").alias("m")).checkpoint()
         j = sym.join(least, F.col("u") == F.col("u2"))
         if large:
             out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

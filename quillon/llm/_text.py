@@ -8,6 +8,7 @@ hash over the UTF-8 bytes, taken as a difference of prefix sums modulo 2**64.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 
@@ -31,6 +32,19 @@ def shared_checkpoints(spark) -> None:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillon-checkpoints-"))
 
 
+def stored(df):
+    """The rows written to the shared checkpoint folder and reread.
+
+    Unlike a checkpoint, the table has its real size as its statistics and no constraints of the plan
+    behind it: in loops of joins those of checkpoints multiply from round to round.
+    """
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

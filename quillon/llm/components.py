@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import shared_checkpoints
+from quillon.llm._text import shared_checkpoints, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
     spark = edges.sparkSession
     shared_checkpoints(spark)
     # written once: every round reads its edges several times
-    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
+    e = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     nodes_alone = e.where("u = v").select("u", "v")
     e = e.where("u <> v")
 
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         """large: each neighbour above a node is tied to the node's minimum; small: those below it and itself."""
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         # written, so that both sides of the join are plain exchanges and a hub's edges can be split over tasks
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u", "m").alias("m")).checkpoint()
+        least = stored(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u", "m").alias("m")))
         j = sym.join(least, F.col("u") == F.col("u2"))
         if large:
             out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
 
     seen = None
     for _ in range(most):
-        e = stars(stars(e, True), False).checkpoint()
+        e = stored(stars(stars(e, True), False))
         now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == seen:
             break

@@ -11,8 +11,15 @@ Signatures never become rows: each map task packs them into byte blocks by signa
 each range is sorted once in numpy. Sets that share a signature in a small bucket are candidate
 pairs, which sizes and parity sketches (exact bounds) thin out; those of a larger bucket are tied to
 its smallest set key, not paired. Pairs and ties are closed to candidate clusters, and links inside
-a cluster are verified exactly. Clusters of many features are cut into chunks and verified chunk
-against chunk, so that no task holds an unbounded group; tasks return a spanning forest of links.
+a cluster are verified exactly, in chunks of bounded size, so that no task holds an unbounded group.
+
+A cluster of many chunks is first thinned around pivots. All members are measured against a few
+candidate pivots; those linked with the best one are its core, one component already, and are not
+compared with each other. Jaccard distance is a metric, so a member further from the pivot than
+twice the linking distance links with no one in the core; the ring between is compared with the
+core, and ring and rest go on to the next round, with a new pivot. A group of near copies of any
+size thus costs a few passes over its rows. What rounds no longer thin is verified chunk against
+chunk. Tasks return a spanning forest of links.
 """
 
 from __future__ import annotations
@@ -24,8 +31,9 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm._text import M64, mix, shared_checkpoints, shingles, slices
+from quillon.llm._text import M64, mix, shared_checkpoints, shingles, slices, stored
 from quillon.llm.components import connected_components
 
 LEVEL = 1.5
@@ -33,6 +41,8 @@ LEVEL = 1.5
 RANGE, CHUNK = 1_000_000, 1_000_000
 #: members of a bucket whose pairs are looked at one by one
 SMALL = 24
+#: rounds of pivots at most, candidates by hash in each, and the share of rows below which a round is the last
+ROUNDS, SAMPLED, WORTH = 12, 6, 0.1
 
 
 def level_of(n: int) -> int:
@@ -211,27 +221,63 @@ def _near(percent: int):
 
 
 def _sets(size: int):
-    """Feature arrays of the rows whose text has the expected set key, once for adjacent repeated rows."""
+    """Feature arrays of the rows whose text has the expected set key, once for adjacent repeated rows; other columns stay."""
 
     def run(batches):
         import pyarrow as pa
 
         last = None
         for rows, texts in slices(batches):
-            sets, ids, keys = shingles(texts, size), rows.column(0).to_pylist(), rows.column(4).to_pylist()
-            keep = []
+            names = rows.schema.names
+            sets, keys, keep = shingles(texts, size), rows.column(names.index("set_key")).to_pylist(), []
             for i, s in enumerate(sets):
-                if set_key(s) == keys[i] and (ids[i], keys[i]) != last:
+                if set_key(s) == keys[i] and keys[i] != last:
                     keep.append(i)
-                    last = (ids[i], keys[i])
+                    last = keys[i]
             rows = rows.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["doc_id", "cluster", "chunk", "chunks", "features"])
+            features = pa.array([sets[i].tobytes() for i in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([features if name == "text" else rows.column(i) for i, name in enumerate(names)], ["features" if name == "text" else name for name in names])
 
     return run
 
 
-def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tuple[list, list]:
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if not len(small):
+        return 0
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+
+
+def _measured(percent: int):
+    """Of each member of a chunk, against each candidate pivot of its cluster: 2 linked, 1 within twice the linking distance, else 0."""
+
+    def run(table):
+        import pyarrow as pa
+
+        keys, own = table.column("set_key").to_pylist(), table.column("own").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("features").to_pylist()]
+        pivots = [p["key"] for p in table.column("pivots")[0].as_py()]
+        of = dict(zip(keys, sets, strict=True))
+        out = []
+        for s, mine in zip(sets, own, strict=True):
+            if mine:
+                row = []
+                for p in pivots:
+                    same = shared(s, of[p])
+                    union = len(s) + len(of[p]) - same
+                    row.append(2 if 100 * same >= percent * union else int(100 * (union - same) <= 2 * (100 - percent) * union))
+                out.append(row)
+        table = table.select(["set_key", "rep", "n", "degree", "cluster", "pivots"]).filter(pa.array(own))
+        return table.append_column("near", pa.array(out, pa.list_(pa.int32())))
+
+    return run
+
+
+def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int, core: int | None = None) -> tuple[list, list]:
     """Edges of a spanning forest of all links between the sets; with two sides, links across them count.
+    The members of the side ``core`` are joined already.
 
     Pairs are first bounded from below by parity sketches (differing parity bits never exceed the
     symmetric difference), then verified exactly unless already joined.
@@ -241,6 +287,8 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, pe
     ids, n, sides, sets = ids[order], n[order], sides[order], [sets[i] for i in order]
     m = len(ids)
     parent = list(range(m))
+    for i in np.flatnonzero(sides == core)[1:] if core is not None else ():
+        parent[i] = int(np.argmax(sides == core))
 
     def root(i):
         while parent[i] != i:
@@ -284,9 +332,7 @@ def _settle(found, sets, n, parent, root, percent, a, b) -> list:
             r, s = root(p), root(q)
             if r == s:
                 continue
-            small, large = (sets[p], sets[q]) if n[p] <= n[q] else (sets[q], sets[p])
-            at = np.searchsorted(large, small)
-            same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            same = shared(sets[p], sets[q])
             if 100 * same >= percent * (n[p] + n[q] - same):
                 parent[max(r, s)] = min(r, s)
                 a.append(p)
@@ -299,14 +345,17 @@ def _verify(percent: int):
         import pyarrow as pa
 
         cluster = table.column("cluster").to_numpy()
-        ids, chunk = table.column("doc_id").to_numpy(), table.column("chunk").to_numpy()
+        ids, chunk = table.column("rep").to_numpy(), table.column("chunk").to_numpy()
+        i = table.column("i")[0].as_py()
+        if i != table.column("j")[0].as_py() and (chunk == chunk[0]).all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})  # one side of two is empty
         raw = table.column("features").to_pylist()
         order = np.argsort(cluster, kind="stable")
         cut = np.flatnonzero(np.diff(cluster[order])) + 1
         a, b = [], []
         for part in np.split(order, cut):
             sets = [np.frombuffer(raw[i], np.uint64) for i in part]
-            x, y = linked_forest(ids[part], sets, chunk[part], percent)
+            x, y = linked_forest(ids[part], sets, chunk[part], percent, 0 if i <= -2 else None)
             a += x
             b += y
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -314,6 +363,51 @@ def _verify(percent: int):
     return run
 
 
+def around_pivots(members: DataFrame, sets: DataFrame, near: DataFrame, percent: int, chunk: int, alone) -> tuple[DataFrame, DataFrame]:
+    """Verification tasks (set_key, rep, cluster, chunk, tasks) of the clusters of many chunks, and links found on the way.
+
+    A round measures every member against the candidates of its cluster (the member of most near pairs
+    and some chosen by hash) in chunks that each hold the candidates, takes the one with the largest core, and
+    leaves ring and rest. Rounds end when no cluster has more than a chunk, or when they no longer pay.
+    """
+    degree = near.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("degree"))
+    left = stored(members.join(degree, F.col("set_key") == F.col("k"), "left").select("set_key", "rep", "n", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), "cluster"))
+    links, tasks, before = None, None, None
+    this = F.struct(F.col("set_key").alias("key"), "rep").alias("p")
+    for turn in range(ROUNDS):
+        picks = [F.max(F.struct("degree", this)).alias("d"), *(F.min(F.struct(F.xxhash64("set_key", F.lit(turn * SAMPLED + i)), this)).alias(f"h{i}") for i in range(SAMPLED))]
+        groups = left.groupBy("cluster").agg(F.sum("n").alias("s"), *picks).where(F.col("s") > chunk)
+        groups = stored(groups.select(F.col("cluster").alias("c"), "s", F.array_distinct(F.array("d.p", *(f"h{i}.p" for i in range(SAMPLED)))).alias("pivots"), F.ceil(F.col("s") / chunk).cast("int").alias("chunks")))
+        now = groups.agg(F.sum("s")).first()[0] or 0
+        if not now or (before is not None and now > (1 - WORTH) * before):
+            break
+        before = now
+        big = left.join(groups, F.col("cluster") == F.col("c")).select(F.col("set_key").alias("k"), "rep", "n", "degree", "cluster", "pivots", "chunks", F.expr("int(pmod(xxhash64(set_key), chunks))").alias("chunk"))
+        rows = sets.join(big, F.col("set_key") == F.col("k"))
+        rows = rows.select("*", F.explode(F.expr("if(exists(pivots, p -> p.key = set_key), sequence(0, chunks - 1), array(chunk))")).alias("at"))
+        rows = rows.select("set_key", "rep", "n", "degree", "cluster", "pivots", "features", "at", (F.col("at") == F.col("chunk")).alias("own"))
+        seen = rows.groupBy("cluster", "at").applyInArrow(_measured(percent), "set_key long, rep long, n long, degree long, cluster long, pivots array<struct<key:long,rep:long>>, near array<int>")
+        seen = stored(seen.dropDuplicates(["set_key"]))
+        cores = F.array(*(F.sum((F.coalesce(F.try_element_at("near", F.lit(i + 1)), F.lit(0)) == 2).cast("long")) for i in range(SAMPLED + 1)))
+        best = seen.groupBy("cluster").agg(cores.alias("cores")).select(F.col("cluster").alias("c"), F.expr("int(array_position(cores, array_max(cores)))").alias("best"))
+        at = stored(seen.join(best, F.col("cluster") == F.col("c")).select("set_key", "rep", "n", "degree", "cluster", F.element_at("pivots", F.col("best"))["rep"].alias("pivot"), F.element_at("near", F.col("best")).alias("v")))
+        found = at.where("v = 2").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        sides = at.groupBy("cluster").agg(*(F.ceil(F.sum(F.expr(f"if(v = {v}, n, 0)")) / chunk).cast("int").alias(name) for v, name in ((1, "rings"), (2, "cores")))).where("rings > 0")
+        ring = f"transform(sequence(0, cores - 1), x -> struct(cluster AS t, int({-2 - turn} - {ROUNDS} * pmod(xxhash64(set_key), rings)) AS i, x AS j))"
+        core = f"transform(sequence(0, rings - 1), x -> struct(cluster AS t, int({-2 - turn} - {ROUNDS} * x) AS i, int(pmod(xxhash64(set_key), cores)) AS j))"
+        crossed = at.where("v > 0").join(sides.withColumnRenamed("cluster", "c"), F.col("cluster") == F.col("c"))
+        crossed = crossed.select("set_key", "rep", "cluster", F.expr("if(v = 1, 1, 0)").alias("chunk"), F.expr(f"if(v = 1, {ring}, {core})").alias("tasks"))
+        tasks = crossed if tasks is None else tasks.unionByName(crossed)
+        small = left.join(groups.select("c"), F.col("cluster") == F.col("c"), "left_anti")
+        left = stored(at.where("v < 2").select(left.columns).unionByName(small))
+    sized = left.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
+    pairs = F.expr("transform(sequence(0, chunks - 1), x -> struct(cluster AS t, least(x, chunk) AS i, greatest(x, chunk) AS j))")
+    rest = left.join(sized, F.col("cluster") == F.col("c")).withColumn("chunk", F.expr("int(pmod(xxhash64(set_key), chunks))"))
+    rest = rest.select("set_key", "rep", "cluster", "chunk", F.when(F.col("chunks") == 1, alone).otherwise(pairs).alias("tasks"))
+    return rest if tasks is None else rest.unionByName(tasks), links
+
+
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents joined by chains of links of at least ``percent`` Jaccard.
 
@@ -334,19 +428,33 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
     pairs = found.where("NOT tie").select("a", "b").distinct()
     side = lambda x: reps.select(F.col("set_key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = pairs.join(side("a"), F.col("a") == F.col("ka")).join(side("b"), F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "sa", "sb")
-    near = pairs.mapInArrow(_near(percent), "a long, b long")
+    near = pairs.mapInArrow(_near(percent), "a long, b long").checkpoint()
     clusters = connected_components(near.unionByName(found.where("tie").select("a", "b")))
-    members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", "n", "set_key", "component").checkpoint()
-    sized = members.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.sum("n").alias("s"))
-    tasks = members.join(sized.select(F.col("component").alias("cluster"), "chunks"), F.col("component") == F.col("cluster"))
-    tasks = tasks.select(F.col("rep").alias("rep_id"), "cluster", F.expr("int(pmod(xxhash64(rep), chunks))").alias("chunk"), "chunks", "set_key")
-    bins = max(1, math.ceil((sized.agg(F.sum("s")).first()[0] or 0) / chunk))
-    sets = base.join(tasks, F.col("doc_id") == F.col("rep_id")).select("doc_id", "cluster", "chunk", "chunks", "set_key", "text").mapInArrow(_sets(size), "doc_id long, cluster long, chunk int, chunks int, features binary")
-    # a cluster of one chunk shares a task with others; one of c chunks has a task for each pair of chunks
-    alone = F.array(F.struct(F.expr(f"pmod(xxhash64(cluster), {max(bins, 64)})").alias("t"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    crossed = F.expr("transform(sequence(0, chunks - 1), x -> struct(cluster AS t, least(x, chunk) AS i, greatest(x, chunk) AS j))")
-    parts = sets.select("*", F.explode(F.when(F.col("chunks") == 1, alone).otherwise(crossed)).alias("x")).select("doc_id", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
-    links = parts.groupBy("t", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+    members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", "n", "set_key", F.col("component").alias("cluster")).checkpoint()
+    sized = members.groupBy("cluster").agg(F.sum("n").alias("s"))
+    all_of, largest = sized.agg(F.sum("s"), F.max("s")).first()
+    # clusters of one chunk share tasks
+    alone = F.array(F.struct(F.expr(f"pmod(xxhash64(cluster), {max(64, math.ceil((all_of or 0) / chunk))})").alias("t"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+
+    def with_features(rows: DataFrame) -> DataFrame:
+        j = base.join(rows, F.col("doc_id") == F.col("rep")).select("text", *rows.columns)
+        schema = T.StructType([T.StructField("features", T.BinaryType()), *rows.schema.fields])
+        return j.mapInArrow(_sets(size), schema)
+
+    few, links = members, None
+    if (largest or 0) > chunk:
+        large = sized.where(F.col("s") > chunk).select(F.col("cluster").alias("c"))
+        few = members.join(large, F.col("cluster") == F.col("c"), "left_anti")
+        many = members.join(large, F.col("cluster") == F.col("c"), "left_semi")
+        sets = with_features(many.select("set_key", "rep")).select("set_key", "features").checkpoint()
+        parts, links = around_pivots(many, sets, near, percent, chunk, alone)
+        parts = parts.select(F.col("set_key").alias("k"), "rep", "cluster", "chunk", F.explode("tasks").alias("x"))
+        parts = sets.join(parts, F.col("set_key") == F.col("k")).select("rep", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
+    tasks = with_features(few.select("set_key", "rep", "cluster")).select("rep", "cluster", F.lit(0).alias("chunk"), "features", F.explode(alone).alias("x"))
+    tasks = tasks.select("rep", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
+    tasks = tasks if links is None else tasks.unionByName(parts)
+    verified = tasks.groupBy("t", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+    links = verified if links is None else verified.unionByName(links)
     joined = connected_components(links)
     known = reps.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
     out = keyed.join(known, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")

@@ -282,6 +282,40 @@ def test_ngram_join(spark, size, percent, chunk):
     assert got == brute_join(rows, size, percent)
 
 
+@pytest.mark.parametrize("chunk", [2500, 9000])
+def test_ngram_join_of_large_groups(spark, chunk):
+    """A hub with many near copies, a chain that drifts away from it, and a second family, in clusters of many chunks."""
+    rng = random.Random(chunk)
+    hub, other = (" ".join(f"{c}{rng.randrange(5000)}" for _ in range(150)) for c in "uv")
+    chain = [hub]
+    for _ in range(40):
+        chain.append(edited(chain[-1], 2, rng))
+    mixed = " ".join(hub.split()[:75] + other.split()[:75])
+    texts = [edited(hub, rng.randrange(4), rng) for _ in range(70)] + chain + [edited(other, rng.randrange(5), rng) for _ in range(50)] + [edited(mixed, 1, rng) for _ in range(20)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, rows), 4, 85, chunk).collect()}
+    assert got == brute_join(rows, 4, 85)
+
+
+def test_cores_are_not_compared_with_each_other(spark):
+    """The work of a group of near copies follows its size, not the square of it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hub = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [np.unique(np.r_[hub[int(rng.integers(0, 10)) :], rng.integers(0, 1 << 63, 5).astype(np.uint64)]) for _ in range(300)]
+    rows = [(ngram_join.set_key(s), i, len(s), 1, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    d = spark.createDataFrame(rows, "set_key long, rep long, n long, cluster long, features binary")
+    near = spark.createDataFrame([(rows[0][0], r[0]) for r in rows[1:]], "a long, b long")
+    from pyspark.sql import functions as F
+
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("t"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    tasks, links = ngram_join.around_pivots(d.select("set_key", "rep", "n", "cluster"), d.select("set_key", "features"), near, 85, 2000, alone)
+    assert links.count() >= 290
+    assert (tasks.selectExpr("size(tasks) AS k").agg({"k": "sum"}).first()[0] or 0) <= 300
+
+
 @pytest.mark.parametrize("percent", [60, 75, 80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)

@@ -37,20 +37,25 @@ NOTICES = (
 
 @dataclass
 class LicenceIndex:
-    """Template postings by word (template, position), and the words' weights from the corpus."""
+    """Postings of each mandatory phrase's rarest word (template, place), and the words' weights from the corpus.
+
+    A notice counts only with a mandatory phrase in place, so the rarest word of every phrase leads to
+    every place where a notice can stand: the weights decide how many places are looked at, not which notices are found.
+    """
 
     idf: dict[bytes, float] = field(default_factory=dict)
-    rare: int = 6
     coverage: float = 0.6
 
     def __post_init__(self):
         self.words = [n.encode().split() for _, n, _ in NOTICES]
-        self.postings = defaultdict(list)
-        for t, ws in enumerate(self.words):
-            for q, w in enumerate(ws):
-                self.postings[w].append((t, q))
-        self.keys = [[(k.encode().split(), self._place(ws, k.encode().split())) for k in keys] for ws, (_, _, keys) in zip(self.words, NOTICES, strict=True)]
-        self.must = [frozenset(k[0]) for keys in self.keys for k in keys]
+        self.vocabulary = {w for ws in self.words for w in ws}
+        self.postings, self.must = defaultdict(list), []
+        for t, (ws, (_, _, keys)) in enumerate(zip(self.words, NOTICES, strict=True)):
+            for key in (k.encode().split() for k in keys):
+                at = self._place(ws, key)
+                q = max(range(len(key)), key=lambda q: self.idf.get(key[q], 0.0))
+                self.postings[key[q]].append((t, at, q, key))
+                self.must.append(frozenset(key))
         self.base = [p.encode().split() for p, _ in BASE]
 
     @staticmethod
@@ -60,7 +65,7 @@ class LicenceIndex:
     def scan(self, text: bytes):
         """n_words, base places (word number of their first word, phrase), labels, score, (label, start, end, coverage) spans."""
         words = text.translate(SPACED).split()
-        present = self.postings.keys() & set(words)
+        present = self.vocabulary & set(words)
         places, spans = [], []
         if b"license" in present:
             for i, w in enumerate(words):
@@ -70,23 +75,19 @@ class LicenceIndex:
                         if s >= 0 and words[s : i + 1] == phrase:
                             places.append((s, b))
         if any(m <= present for m in self.must):
-            # the file's highest-IDF licence words vote for where each template would begin
-            chosen = set(sorted(present, key=lambda w: (-self.idf.get(w, 0.0), w))[: self.rare])
-            votes = Counter()
+            starts = set()
             for i, w in enumerate(words):
-                if w in chosen:
-                    for t, q in self.postings[w]:
-                        votes[t, i - q] += 1
-            for (t, at), n in votes.items():
+                for t, at, q, key in self.postings.get(w, ()):
+                    if i >= q and words[i - q : i - q + len(key)] == key:
+                        starts.add((t, i - q - at))
+            for t, at in starts:
                 ws = self.words[t]
-                if n < min(2, len(ws)) or not any(words[at + p : at + p + len(k)] == k for k, p in self.keys[t] if at + p >= 0):
-                    continue
                 same = sum(0 <= at + q < len(words) and words[at + q] == w for q, w in enumerate(ws)) / len(ws)
                 if same >= self.coverage:
                     spans.append((NOTICES[t][0], max(at, 0), min(at + len(ws), len(words)), same))
         labels = {BASE[b][1] for _, b in places} | {s[0] for s in spans}
         score = max([s[3] for s in spans] + [0.5] * bool(places), default=0.0)
-        return len(words), places, labels, score, sorted(set(spans), key=lambda s: (s[1], s[0], s[2]))
+        return len(words), places, labels, score, sorted(set(spans), key=lambda s: (s[1], s[0], *s[2:]))
 
 
 def _frequencies(batches):

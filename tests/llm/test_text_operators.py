@@ -74,6 +74,31 @@ def test_license_scan(spark):
     assert by[10**6 + 10]["labels"] == "cc-by-nc-4.0" and by[10**6 + 10]["score"] == 1
 
 
+def test_license_scan_finds_all_notices_of_a_file():
+    notices = [n for _, n, _ in license_scan.NOTICES]
+    rng = random.Random(5)
+
+    def brute(text):
+        w, out = text.split(), set()
+        for label, notice, keys in license_scan.NOTICES:
+            n = notice.split()
+            places = [(k.split(), next(p for p in range(len(n)) if n[p : p + len(k.split())] == k.split())) for k in keys]
+            for at in range(-len(n), len(w)):
+                same = sum(0 <= at + q < len(w) and w[at + q] == x for q, x in enumerate(n)) / len(n)
+                if same >= 0.6 and any(at + p >= 0 and w[at + p : at + p + len(k)] == k for k, p in places):
+                    out.add((label, max(at, 0), min(at + len(n), len(w)), same))
+        return sorted(out, key=lambda s: (s[1], s[0], *s[2:]))
+
+    filler = "obtaining redistribution hereby granted binary forms modification public domain "
+    texts = [f"{a} x {b}" for a in notices for b in notices] + [filler * 3 + " y ".join(notices), " ".join(notices[4].split()[3:])]
+    for _ in range(3):
+        index = license_scan.LicenceIndex({w.encode(): rng.random() for n in notices for w in n.split()})
+        for t in texts:
+            _, _, labels, score, spans = index.scan(t.encode())
+            want = brute(t)
+            assert spans == want and {s[0] for s in want} <= labels and score >= max((s[3] for s in want), default=0)
+
+
 # op2
 def test_surrogates(spark):
     t = ["call +1 (017) 555-7713, a.b@mail8.example.com a.b@mail8.example.com", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" at 55.63.178.142', "again a.b@mail8.example.com 4111 1111 1111 1111", "Anna Smith met Иван Петров", None, "", "no entity"]

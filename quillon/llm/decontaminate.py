@@ -30,6 +30,19 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return (q, a) if q and a else (words_of(text), words_of(text))
 
 
+class Collection:
+    """What impacts are made of: the number of items, their total length, and the items that each term stands in."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        parsed = [Index.parsed(t) for _, t in items]
+        self.n, self.length = len(items), sum(len(bag) for _, _, bag in parsed)
+        self.terms, self.df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _ in parsed)]), return_counts=True)
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 class Index:
     """Postings with impacts scaled so that an item scores 1 against its own text.
 
@@ -39,19 +52,18 @@ class Index:
     block maxima of the passage's essential terms plus the block's bound for all others reach the threshold.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, block: int = 16, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, block: int = 16, k1: float = 1.2, b: float = 0.75, collection: Collection | None = None):
+        collection = collection or Collection(items)
         self.ids = [i for i, _ in items]
         self.threshold, self.block = threshold, block
-        split = [question_answer(t) for _, t in items]
-        self.parts = [(self._hashes(q), self._hashes(a)) for q, a in split]
-        self.words = [np.unique(np.concatenate(p)) if len(p[0]) + len(p[1]) else np.zeros(0, np.uint64) for p in self.parts]
-        bags = [np.concatenate(p) if q is not a and q != a else p[0] for p, (q, a) in zip(self.parts, split, strict=True)]
-        n, mean = len(items), max(1.0, sum(map(len, bags)) / max(1, len(items)))
+        parsed = [self.parsed(t) for _, t in items]
+        self.parts, self.words, bags = ([p[k] for p in parsed] for k in range(3))
+        n, mean = len(items), max(1.0, collection.length / max(1, collection.n))
         self.terms = np.unique(np.concatenate(self.words)) if items else np.zeros(0, np.uint64)
         df = np.zeros(len(self.terms), np.int64)
         for w in self.words:
             df[np.searchsorted(self.terms, w)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = collection.idf(self.terms)
         t, d, v = [], [], []
         for i, (w, bag) in enumerate(zip(self.words, bags, strict=True)):
             u, tf = np.unique(bag, return_counts=True)
@@ -83,6 +95,14 @@ class Index:
         self.hit = np.zeros(1 << 20, bool)
         self.hit[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    @classmethod
+    def parsed(cls, text: str) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """Hashes of an item's words: (question, answer), distinct ones of both, all in order."""
+        q, a = question_answer(text)
+        parts = cls._hashes(q), cls._hashes(a)
+        both = np.concatenate(parts)
+        return parts, np.unique(both), both if q != a else parts[0]
+
     @staticmethod
     def _hashes(words: list[str]) -> np.ndarray:
         a, at = joined([w.encode() for w in words])
@@ -109,6 +129,8 @@ class Index:
         bound = np.bincount(inverse, self.bmax[at], len(keys)) + self.block_rest[keys % self.blocks]
         keep = bound[inverse] >= self.threshold - 1e-9
         row, at = row[keep], at[keep]
+        if not len(at):
+            return row, at
         m = self.bfirst[at + 1] - self.bfirst[at]
         row = np.repeat(row, m)
         p = np.arange(m.sum()) - np.repeat(np.r_[0, np.cumsum(m)[:-1]], m) + np.repeat(self.bfirst[at], m)
@@ -129,17 +151,22 @@ class Index:
         return float(total)
 
 
-def matches(index: Index, texts: list[bytes], window: int, question: float, answer: float):
-    """(text, item, score, question overlap, answer overlap) of verified hits, the best window of each."""
-    if not index.ids or not len(index.terms):
-        return []
+def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, the first word of each text (one more at the end), and the text of each word."""
     a, at = joined([t.decode().casefold().encode() for t in texts])
     s, e = word_spans(a, ALNUM)
-    if not len(s):
+    return segment_hashes(a, s, e), np.searchsorted(s, at), np.searchsorted(at, s, side="right") - 1
+
+
+def matches(index: Index, texts: list[bytes], window: int, question: float, answer: float):
+    """(text, item, score, question overlap, answer overlap) of verified hits, the best window of each."""
+    return _matches(index, *words_in(texts), window, question, answer)
+
+
+def _matches(index: Index, hashes: np.ndarray, first: np.ndarray, text_of: np.ndarray, window: int, question: float, answer: float):
+    if not index.ids or not len(index.terms) or not len(hashes):
         return []
-    term = index.lookup(segment_hashes(a, s, e))
-    first = np.searchsorted(s, at)
-    text_of = np.searchsorted(at, s, side="right") - 1
+    term = index.lookup(hashes)
     step = window // 2
     # windows of each text start at every half window; word j of a text lies in windows j // step and the one before
     count = np.maximum(1, -(-np.diff(first) // step))
@@ -170,15 +197,16 @@ def matches(index: Index, texts: list[bytes], window: int, question: float, answ
     return [(t, i, *row) for (t, i), row in sorted(best.items())]
 
 
-def _hits(index: Index, window: int, question: float, answer: float):
+def _hits(indexes: list[tuple[Index, int]], question: float, answer: float):
     def run(batches):
         import pyarrow as pa
 
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
         for rows, texts in slices(batches):
-            found = matches(index, texts, window, question, answer)
+            words = words_in(texts)
+            found = [(f[0], index.ids[f[1]], *f[2:]) for index, window in indexes for f in _matches(index, *words, window, question, answer)]
             ids = rows.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], names)
 
     return run
 
@@ -197,21 +225,36 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield block
 
 
+def by_length(items: list[tuple[int, str]], window: int) -> list[tuple[list[tuple[int, str]], int]]:
+    """(items, window): items of at most half a window, and longer ones by powers of two; windows are twice the longest of the group.
+
+    Verification does not look at the order or nearness of words, so a short item must not be searched in the windows of a long one.
+    """
+    groups: dict = {}
+    for i, t in items:
+        n = len(words_of(t))
+        group = groups.setdefault((2 * n - 1).bit_length() if 2 * n > window else 0, [[], window])
+        group[0].append((i, t))
+        group[1] = max(group[1], 2 * n)
+    return [(g, w) for _, (g, w) in sorted(groups.items())]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, window: int = 128, question: float = 0.6, answer: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leak of a test item into a document.
 
     Every window of every document is a query; items with a score of at least ``threshold`` of their
     own score are verified by their question's and answer's words in the window. Case and punctuation
     do not count. Windows are twice
-    as long as their step, and at least twice the longest item of a block. Null and empty texts have
+    as long as their step, and at least twice the longest item of a group of like length. Null and empty texts have
     no hits; repeated rows have theirs repeated; an empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     base, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for block in item_blocks(benchmark, block_bytes):
-        longest = max(len(words_of(t)) for _, t in block)
-        found = base.mapInArrow(_hits(Index(block, threshold), max(window, 2 * longest), question, answer), schema)
+        collection = Collection(block)
+        indexes = [(Index(items, threshold, collection=collection), wide) for items, wide in by_length(block, window)]
+        found = base.mapInArrow(_hits(indexes, question, answer), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

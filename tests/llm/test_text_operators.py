@@ -250,6 +250,19 @@ def test_decontamination(spark):
     assert decontaminate.without_leaks(d, b).count() == d.count() - len(planted) - len(noisy)
 
 
+def test_long_items_do_not_widen_the_windows_of_short_ones(spark):
+    short = [(i, " ".join(f"s{i}q{k}" for k in range(12)) + ". " + " ".join(f"s{i}a{k}" for k in range(4)) + ".") for i in range(4)]
+    long = [(10 + i, " ".join(f"t{i}x{k}" for k in range(n)) + ". The end.") for i, n in enumerate((90, 700, 3000))]
+    rng = random.Random(2)
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    spread = [(i, " ".join(f"{filler(100)} {w}" for w in t.replace(".", "").split())) for i, t in short]  # a word of the item in every 101 words
+    holding = [(100 + i, f"{filler(150)} {t} {filler(333)}") for i, t in short + long]
+    d, b = docs(spark, spread + holding), spark.createDataFrame(short + long, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(d, b).collect()}
+    assert got == {(100 + i, i) for i, _ in short + long}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(d, b).collect()} == {i for i, _ in spread}
+
+
 def test_index_finds_what_scoring_all_finds():
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(300)]

@@ -5,9 +5,10 @@ Surrogates are values of keyed bijections, so that one entity has one surrogate
 entities, a shuffle or a second look. The bijections:
 
 * letters, digits and hex digits: each character moves within its own class by an amount taken from
-  a keyed hash of the type, the entity's shape and the original characters before it. Reading from
-  the left, every step can be undone, so the map is one to one; the first character that can move
-  always does, so none maps to itself. Length, case, script and punctuation stay.
+  a keyed hash of the type, the entity's shape (which surrogates share) and the original characters
+  before it. Reading from the left, every step can be undone, so the map is one to one; the first
+  character that can move always does, and every letter and number of any script can, so none maps to
+  itself. Length, case, script and punctuation stay.
 * card numbers: the digits before the check digit move; the check digit keeps its distance from the
   Luhn digit, so valid numbers stay valid and invalid ones invalid.
 * IPv4 addresses: each octet moves modulo 256, the first by 1 to 255.
@@ -18,6 +19,10 @@ entities, a shuffle or a second look. The bijections:
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +51,42 @@ _ENTITY = "|".join(f"({p})" for _, p in TYPES)
 _DIGIT_OR_AT = "[0-9@]"
 _GIVEN = r"(?<!\p{L})[A-ZА-Я](?<=" + "|".join(sorted({n[0] for k, v in NAMES.items() if k.startswith("given") for n in v})) + ")(?:" + "|".join(n[1:] for k, v in NAMES.items() if k.startswith("given") for n in v) + ") "
 
-#: ranges of characters that move among themselves: first, last; fixed values
-CLASSES = (("0", "9"), ("a", "z"), ("A", "Z"), ("à", "ö"), ("À", "Ö"), ("α", "ρ"), ("Α", "Ρ"), ("а", "я"), ("А", "Я"), ("一", "鿋"))
+#: ranges of characters that move among themselves: first, last; fixed values. The first three are all of ASCII
+CLASSES = (("0", "9"), ("a", "z"), ("A", "Z"), ("à", "ö"), ("À", "Ö"), ("α", "ρ"), ("Α", "Ρ"), ("а", "я"), ("А", "Я"), ("一", "鿿"))
+#: a range of at least so many characters is moved by code points, without a listed alphabet
+LARGE = 256
+
+
+@cache
+def _alphabets() -> tuple[tuple[str, str, str], ...]:
+    """(first, last, characters) of the classes of letters and numbers outside ASCII; no characters for large ranges.
+
+    What CLASSES leaves is classed by script and category, in large ranges one by one; a character alone
+    in its class joins those of its script, or else the others that are left.
+    """
+    out, groups = [], defaultdict(list)
+    for a, b in CLASSES[3:]:
+        every = "".join(chr(x) for x in range(ord(a), ord(b) + 1))
+        out.append((a, b, every if len(every) < LARGE else ""))
+    for x in range(0x80, 0x110000):
+        kind = unicodedata.category(chr(x))
+        if kind[0] in "LN" and not any(a <= chr(x) <= b for a, b, _ in out):
+            groups[unicodedata.name(chr(x), "-").replace("-", " ").split(" ")[0], kind].append(x)
+    for level in (1, 0):
+        for k in [k for k, v in groups.items() if len(v) == 1]:
+            groups[k[0] if level else "", k[1][0]] += groups.pop(k)  # letters and numbers apart
+    for v in groups.values():
+        runs = [[x] for x in v[:1]]
+        for x in sorted(v)[1:]:
+            if x == runs[-1][-1] + 1:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        out += [(chr(r[0]), chr(r[-1]), "") for r in runs if len(r) >= LARGE]
+        rest = "".join(chr(x) for r in runs if len(r) < LARGE for x in r)
+        if rest:
+            out.append((rest[0], rest[-1], rest))
+    return tuple(out)
 
 
 def _q(s: str) -> str:
@@ -59,33 +98,36 @@ def _type_of(m: str) -> str:
     return f"CASE {whole} END"
 
 
-def _moved(m: str, kind: str, classes: str, key: str, keep: str = "''") -> str:
+def _moved(m: str, kind: str, classes: str, key: str, keep: str = "''", far: bool = False) -> str:
     """SQL: the characters of ``m`` moved within their classes; those before the prefix ``keep`` stay.
 
     The state holds the original prefix p, the output o, and whether a character has moved.
     """
-    shape = f"translate({m}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'aaaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAAAAAAAAAAAAAAAAAAAA0000000000')"
-    width = f"filter({classes}, k -> c BETWEEN k.a AND k.b)"
+    shape = f"regexp_replace(translate({m}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'aaaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAAAAAAAAAAAAAAAAAAAA0000000000'), '[^\\\\x00-\\\\x7F]', 'é')"
+    width = f"filter({classes}, k -> c BETWEEN k.a AND k.b AND (k.all = '' OR instr(k.all, c) > 0))"
+    by = lambda n: f"if(s.moved, pmod(xxhash64({key}, '{kind}', {shape}, s.p), {n}), 1 + pmod(xxhash64({key}, '{kind}', {shape}, s.p), {n} - 1))"
+    listed = f"substr(k.all, 1 + int(pmod(instr(k.all, c) - 1 + {by('length(k.all)')}, length(k.all))), 1)"
+    size = "(ascii(k.b) - ascii(k.a) + 1)"  # ascii() is the code point
+    ranged = f"decode(unhex(lpad(hex(ascii(k.a) + pmod(ascii(c) - ascii(k.a) + {by(size)}, {size})), 8, '0')), 'UTF-32')"
+    other = f"if(k.all = '', {ranged}, {listed})" if far else listed
     # one() binds a value in SQL, as lambdas have no let
     step = f"""try_element_at(transform(array(try_element_at({width}, 1)), k ->
         if(k IS NULL OR length(s.p) < length({keep}),
           named_struct('p', concat(s.p, c), 'o', concat(s.o, c), 'moved', s.moved),
           named_struct('p', concat(s.p, c),
-            'o', concat(s.o, substr(k.all, 1 + int(pmod(instr(k.all, c) - 1 + if(s.moved,
-                pmod(xxhash64({key}, '{kind}', {shape}, s.p), length(k.all)),
-                1 + pmod(xxhash64({key}, '{kind}', {shape}, s.p), length(k.all) - 1)), length(k.all))), 1)),
+            'o', concat(s.o, {other}),
             'moved', true))), 1)"""
     return f"aggregate(filter(split({m}, ''), c -> c <> ''), named_struct('p', '', 'o', '', 'moved', false), (s, c) -> {step}, s -> s.o)"
 
 
-def _classes(hexadecimal: bool = False, digits_only: bool = False) -> str:
+def _classes(hexadecimal: bool = False, digits_only: bool = False, far: bool = False) -> str:
+    """SQL: the classes as an array; with ``far``, those for the character c, of ASCII or of all else."""
     if hexadecimal:
         return "array(named_struct('a', '0', 'b', 'f', 'all', '0123456789abcdef'))"
-    out = []
-    for a, b in CLASSES[: 1 if digits_only else -1]:
-        every = "".join(chr(x) for x in range(ord(a), ord(b) + 1))
-        out.append(f"named_struct('a', '{a}', 'b', '{b}', 'all', '{every}')")
-    return f"array({', '.join(out)})"
+    row = lambda a, b, every: f"named_struct('a', '{a}', 'b', '{b}', 'all', '{every}')"
+    sql = lambda rows: f"array({', '.join(row(*x) for x in rows)})"
+    near = sql([(a, b, "".join(chr(x) for x in range(ord(a), ord(b) + 1))) for a, b in CLASSES[: 1 if digits_only else 3]])
+    return f"if(ascii(c) < 128, {near}, {sql(_alphabets())})" if far else near
 
 
 def _luhn(d: str) -> str:
@@ -111,7 +153,7 @@ def surrogate_sql(m: str, key: str) -> str:
     person = f"concat({turn(f'''split({m}, ' ')[0]''', 'given')}, ' ', {turn(f'''split({m}, ' ')[1]''', 'family')})"
     phone = _moved(m, "phone", _classes(digits_only=True), k, f"regexp_extract({m}, '^[+][0-9]{{1,3}}', 0)")
     secret = f"if({m} RLIKE '^[0-9a-f]+$', {_moved(m, 'hex', _classes(hexadecimal=True), k)}, {_moved(m, 'secret', _classes(), k, f'''regexp_extract({m}, '^(?:AKIA|gh[pousr]_|sk-)', 0)''')})"
-    return f"""CASE {_type_of(m)} WHEN 'email' THEN {_moved(m, 'email', _classes(), k, "''")} WHEN 'secret' THEN {secret}
+    return f"""CASE {_type_of(m)} WHEN 'email' THEN {_moved(m, 'email', _classes(far=True), k, far=True)} WHEN 'secret' THEN {secret}
         WHEN 'iban' THEN {_moved(m, 'iban', _classes(), k, f"substr({m}, 1, 2)")} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card}
         WHEN 'ssn' THEN {_moved(m, 'ssn', _classes(digits_only=True), k)} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE {m} END"""
 

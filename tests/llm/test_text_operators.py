@@ -119,6 +119,26 @@ def test_surrogates(spark):
     assert out[4]["n_entities"] == 0 and out[6]["entity_types"] == ""
 
 
+def test_letters_of_all_scripts_move(spark):
+    import unicodedata
+
+    sample = [chr(x) for x in range(0x80, 0x30000, 7) if unicodedata.ucd_3_2_0.category(chr(x))[0] == "L"]  # letters that any JVM knows
+    names = ["王小明", "王小红", "محمد", "דוד", "สมชาย", "άννα", "øßþ", "Łódź", "김철수", "𠀀𠀁", "иван", "ёж", "a王b", "ªº"]
+    names += ["".join(sample[i : i + 60]) for i in range(0, len(sample), 60)]
+    names += [chr(x) for x in range(0x430, 0x450)] + [chr(x) for x in range(0x4E00, 0x4E40)]
+    t = [f"to {n}@例子.公司 now" for n in names] + ["to 中文@例子.公司 now"]
+    d = docs(spark, t)
+    e = {r["entity"]: r["surrogate"] for r in surrogates.entity_table(d).collect()}
+    assert surrogates.collisions(d).count() == 0 and len(set(e.values())) == len(e)
+    first = lambda m: next(i for i, c in enumerate(m) if c.isalpha())
+    for m, s in e.items():
+        assert len(m) == len(s) and m != s and m[first(m)] != s[first(m)]
+        assert all(unicodedata.category(a)[0] == unicodedata.category(b)[0] for a, b in zip(m, s, strict=True))
+    assert {len(e.get(f"{n}@例子.公司", "")) for n in names[:14]} == {len(n) + 6 for n in names[:14]}
+    for r in surrogates.surrogates(d).collect():
+        assert "例子.公司" not in r["text"] and r["n_entities"] == 1
+
+
 def test_surrogates_of_real_texts(spark):
     d = real(spark)
     assert surrogates.collisions(d).count() == 0

@@ -11,7 +11,7 @@ entities, a shuffle or a second look. The bijections:
   itself. Length, case, script and punctuation stay.
 * card numbers: the digits before the check digit move; the check digit keeps its distance from the
   Luhn digit, so valid numbers stay valid and invalid ones invalid.
-* IPv4 addresses: each octet moves modulo 256, the first by 1 to 255.
+* IPv4 addresses: each octet moves modulo 256, the first by 1 to 255; IPv6 ones move by hex digits.
 * person names: positions in a gazetteer of one gender and script rotate by a keyed amount.
 
 ``collisions`` checks on the data that no two entities of a type share a surrogate.
@@ -42,13 +42,17 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 CARD = r"(?<![\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)"
+IPV6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,38}[0-9A-Fa-f])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,38}[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"
+#: international numbers of 7 to 15 digits, in one piece or up to seven groups; national ones from 0, of 8 or more, but no dates; three groups
+PHONE = r"(?:(?<![\d+])\+(?=(?:[ .()/-]{0,2}\d){7})(?:\d{7,15}|\d{1,3}(?:[ .()/-]{1,2}\d{1,8}){1,6})(?!\d)|(?<![\d+.,/-])(?!\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?![./-]?\d))\(?(?=0\d(?:[ .()/-]{0,2}\d){6})0\d{1,4}\)?(?:[ ./-]\d{2,8}){1,5}(?!\d)|(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d))"
 PERSON = rf"(?<!\p{{L}})(?=[A-ZА-Я])(?:{'|'.join(n for k, v in NAMES.items() if k.startswith('given') for n in v)}) (?:{'|'.join(n for k, v in NAMES.items() if k.startswith('family') for n in v)})(?!\p{{L}})"
-TYPES = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("card", CARD), ("ssn", SSN), ("phone", PHONE), ("person", PERSON))
+TYPES = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("ip6", IPV6), ("card", CARD), ("ssn", SSN), ("phone", PHONE), ("person", PERSON))
+#: calling codes (none begins another), which stay; fixed values
+CALLING = "^[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DEFAULT_KEY = "quillon"
 _ENTITY = "|".join(f"({p})" for _, p in TYPES)
 #: a text without a digit, an at sign and a given name has no entity, and is only scanned for these
-_DIGIT_OR_AT = "[0-9@]"
+_DIGIT_OR_AT = "[0-9@]|:[A-Fa-f]{1,4}:"
 _GIVEN = r"(?<!\p{L})[A-ZА-Я](?<=" + "|".join(sorted({n[0] for k, v in NAMES.items() if k.startswith("given") for n in v})) + ")(?:" + "|".join(n[1:] for k, v in NAMES.items() if k.startswith("given") for n in v) + ") "
 
 #: ranges of characters that move among themselves: first, last; fixed values. The first three are all of ASCII
@@ -123,7 +127,7 @@ def _moved(m: str, kind: str, classes: str, key: str, keep: str = "''", far: boo
 def _classes(hexadecimal: bool = False, digits_only: bool = False, far: bool = False) -> str:
     """SQL: the classes as an array; with ``far``, those for the character c, of ASCII or of all else."""
     if hexadecimal:
-        return "array(named_struct('a', '0', 'b', 'f', 'all', '0123456789abcdef'))"
+        return "array(named_struct('a', '0', 'b', 'f', 'all', '0123456789abcdef'), named_struct('a', 'A', 'b', 'F', 'all', 'ABCDEF'))"
     row = lambda a, b, every: f"named_struct('a', '{a}', 'b', '{b}', 'all', '{every}')"
     sql = lambda rows: f"array({', '.join(row(*x) for x in rows)})"
     near = sql([(a, b, "".join(chr(x) for x in range(ord(a), ord(b) + 1))) for a, b in CLASSES[: 1 if digits_only else 3]])
@@ -151,10 +155,10 @@ def surrogate_sql(m: str, key: str) -> str:
     turn = lambda w, kind: f"""try_element_at(transform(filter({lists(kind)}, l -> array_contains(l, {w})), l ->
         try_element_at(l, int(1 + pmod(array_position(l, {w}) - 1 + 1 + pmod(xxhash64({k}, '{kind}', l[0]), size(l) - 1), size(l))))), 1)"""
     person = f"concat({turn(f'''split({m}, ' ')[0]''', 'given')}, ' ', {turn(f'''split({m}, ' ')[1]''', 'family')})"
-    phone = _moved(m, "phone", _classes(digits_only=True), k, f"regexp_extract({m}, '^[+][0-9]{{1,3}}', 0)")
+    phone = _moved(m, "phone", _classes(digits_only=True), k, f"regexp_extract({m}, '{CALLING}', 0)")
     secret = f"if({m} RLIKE '^[0-9a-f]+$', {_moved(m, 'hex', _classes(hexadecimal=True), k)}, {_moved(m, 'secret', _classes(), k, f'''regexp_extract({m}, '^(?:AKIA|gh[pousr]_|sk-)', 0)''')})"
     return f"""CASE {_type_of(m)} WHEN 'email' THEN {_moved(m, 'email', _classes(far=True), k, far=True)} WHEN 'secret' THEN {secret}
-        WHEN 'iban' THEN {_moved(m, 'iban', _classes(), k, f"substr({m}, 1, 2)")} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card}
+        WHEN 'iban' THEN {_moved(m, 'iban', _classes(), k, f"substr({m}, 1, 2)")} WHEN 'ip' THEN {ip} WHEN 'ip6' THEN {_moved(m, 'ip6', _classes(hexadecimal=True), k)} WHEN 'card' THEN {card}
         WHEN 'ssn' THEN {_moved(m, 'ssn', _classes(digits_only=True), k)} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE {m} END"""
 
 

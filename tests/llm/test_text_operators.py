@@ -119,6 +119,19 @@ def test_surrogates(spark):
     assert out[4]["n_entities"] == 0 and out[6]["entity_types"] == ""
 
 
+def test_phones_and_addresses_of_other_forms(spark):
+    phones = ["+15551234567", "+33 6 12 34 56 78", "030 1234567", "+49 30 12345678", "06 12 34 56 78", "(030) 1234567", "+44 (20) 7946 0958"]
+    ip6 = ["2001:db8::8a2e:370:7334", "2001:0DB8:0000:0000:0000:8A2E:0370:7334", "fe80::1"]
+    plain = ["on 01.02.2024 and 03/04/2025", "at 12:30:45", "std::vector a::b", "0.12345678", "10 20 30 40", "+5 10", "page 012"]
+    out = [r["text"] for r in surrogates.surrogates(docs(spark, [f"x {m}, y" for m in phones + ip6] + plain)).orderBy("doc_id").collect()]
+    for m, r in zip(phones + ip6, out, strict=False):
+        s = r[2:-3]
+        assert len(s) == len(m) and s != m and re.sub(r"[0-9a-f]", "0", s) == re.sub(r"[0-9a-f]", "0", m) or m in ip6 and "DB8" in m and re.sub(r"\w", "0", s) == re.sub(r"\w", "0", m)
+        assert not any(len(g) > 3 and g in s for g in re.split(r"\D", m)) or m in ip6
+    assert out[0].startswith("x +1") and out[1].startswith("x +33 ") and out[3].startswith("x +49 ") and out[len(phones + ip6) :] == plain
+    assert {r["type"] for r in surrogates.entity_table(docs(spark, phones)).collect()} == {"phone"} and surrogates.collisions(docs(spark, phones + ip6)).count() == 0
+
+
 def test_letters_of_all_scripts_move(spark):
     import unicodedata
 

@@ -5,7 +5,8 @@ tags, with the number of tags in it and the container it stands in. Containers o
 notices, forms and the like are closed to text. The text-to-tag ratios of the blocks in page order
 are smoothed with a Gaussian, split into two clusters (1-D 2-means), and the containers that hold
 the high cluster's text are the content regions. A region is kept whole, so that short paragraphs
-between long ones are not lost; a page with an article or main element has its regions there.
+between long ones are not lost. Article and main elements are regions as a whole: all their text
+stays that is not in a closed container, and only pages without one are split by clusters.
 """
 
 from __future__ import annotations
@@ -132,18 +133,14 @@ def two_means(x: list[float]) -> float:
 
 def regions(blocks: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> list[str]:
     """The blocks of the content regions."""
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
+    if any(b[3] for b in blocks):  # an article or main element is a region as a whole
+        return [b[0] for b in blocks if b[3]]
     if not blocks:
         return []
     ratio = smoothed([len(t) / max(1, tags) for t, tags, _, _ in blocks], sigma)
     cut = two_means(ratio)
     high = [r >= cut for r in ratio]
     boxes = {b[2] for b, h in zip(blocks, high, strict=True) if h}
-    if blocks[0][3]:  # inside an article, every container that the clusters reach, and those around and between them
-        first, last = high.index(True), len(high) - 1 - high[::-1].index(True)
-        inside = {b[2] for b in blocks[first : last + 1]} | {blocks[0][2], blocks[-1][2]}
-        boxes |= inside
     return [t for t, _, box, _ in blocks if box in boxes]
 
 

@@ -440,6 +440,14 @@ def test_html(spark):
     assert got[:3] == [(1, "", 0), (2, "", 0), (3, "unclosed", 8)] and got[3] == got[4] and len(got) == 6
 
 
+def test_html_keeps_all_sections_of_an_article():
+    sections = ["a" * n for n in (10, 11, 12, 13)] + ["b" * 300, "c" * 300, "d" * 9, "e" * 8, "f" * 7]
+    body = "".join(f"<section><p>{x}</p></section>" for x in sections)
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<body><div>menu text</div><{tag}>{body}<div class=related><p>no</p></div></{tag}></body>").split("\n") == sections
+    assert html_extract.main_text(f"<div>{'g' * 400}</div><div><a>x</a><a>y</a></div>") == "g" * 400
+
+
 def test_html_of_the_pages(spark):
     import html
 

@@ -25,15 +25,17 @@ SPACED = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if ALNUM[b] else 0x20 for b
 
 
 def shared_checkpoints(spark) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (as in tests), a folder of our own."""
+    """Use the cluster's spark.checkpoint.dir; where none is set, a folder of our own in local mode, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillon-checkpoints-"))
 
 
 def stored(df):
-    """The rows written to the shared checkpoint folder and reread.
+    """The rows written to the shared checkpoint folder and reread; ``unstored`` deletes them.
 
     Unlike a checkpoint, the table has its real size as its statistics and no constraints of the plan
     behind it: in loops of joins those of checkpoints multiply from round to round.
@@ -42,7 +44,27 @@ def stored(df):
     shared_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def unstored(*tables) -> None:
+    """Deletes tables of ``stored`` that nothing still to be computed reads; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spare_name(df, name: str) -> str:
+    """A column name like ``name`` that the table does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -52,6 +52,12 @@ def encoder(path: str | None = None, ranks: str | None = None):
     return _encoders[path, ranks]
 
 
+def vocabulary_size(path: str | None = None) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or vocabulary_path(VOCABULARY)).get_vocab_size()
+
+
 def _tokenised(path, ranks, end_id, width):
     def run(batches):
         import pyarrow as pa
@@ -71,10 +77,12 @@ def _cut(offsets: dict[int, int], window: int, width, with_ids: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        at = offsets.get(TaskContext.get().partitionId(), 0)
+        part, at = TaskContext.get().partitionId(), None
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
         for batch in batches:
             out = [[] for _ in names]
+            if at is None and batch.num_rows:
+                at = offsets[part]  # a partition that was not totalled is an error, not offset 0
             for doc, total, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids, start = np.frombuffer(raw, width).astype("<u4"), 0
                 while start < total:
@@ -100,7 +108,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None
     only the end id; repeated rows are packed as often as they occur; an empty table has no pieces.
     """
     shared_checkpoints(docs.sparkSession)
-    width = "<u4" if end_id >= 1 << 16 else "<u2"  # the vocabulary has fewer than 2**16 ids
+    width = "<u4" if max(end_id, vocabulary_size(path) - 1) >= 1 << 16 else "<u2"
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenised(path, ranks, end_id, width), "doc_id long, doc_tokens long, ids binary").checkpoint()
     totals = sorted((r[0], r[1]) for r in tokens.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("doc_tokens")).collect())
     offsets = dict(zip((p for p, _ in totals), [0, *accumulate(n for _, n in totals)], strict=False))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import ALNUM, LOWERED, joined, segment_hashes, slices, word_spans
+from quillon.llm._text import ALNUM, joined, segment_hashes, slices, spare_name, stored, unstored, word_spans
 
 #: items of one index, in bytes of text; a larger benchmark is indexed and searched in several blocks
 BLOCK_BYTES = 16 << 20
@@ -31,12 +31,19 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Collection:
-    """What impacts are made of: the number of items, their total length, and the items that each term stands in."""
+    """What impacts are made of, over all items of the benchmark: their number, their total length, and how many hold each term.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``terms`` and ``df`` need only hold the terms of the items to be indexed.
+    """
+
+    def __init__(self, n: int, length: int, terms: np.ndarray, df: np.ndarray):
+        self.n, self.length, self.terms, self.df = n, length, terms, df
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> Collection:
         parsed = [Index.parsed(t) for _, t in items]
-        self.n, self.length = len(items), sum(len(bag) for _, _, bag in parsed)
-        self.terms, self.df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _ in parsed)]), return_counts=True)
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _ in parsed)]), return_counts=True)
+        return Collection(len(items), sum(len(bag) for _, _, bag in parsed), terms, df)
 
     def idf(self, terms: np.ndarray) -> np.ndarray:
         df = self.df[np.searchsorted(self.terms, terms)]
@@ -46,14 +53,14 @@ class Collection:
 class Index:
     """Postings with impacts scaled so that an item scores 1 against its own text.
 
-    Terms are split as in MaxScore: the commonest terms whose impacts together stay below the
-    threshold in every item are not essential, so a passage without an essential term has no hit.
-    Postings are cut into blocks of items with a maximum impact each; a block is opened only if the
-    block maxima of the passage's essential terms plus the block's bound for all others reach the threshold.
+    The commonest terms, whose impacts together stay below half the threshold in every item, are not
+    essential: a passage without an essential term has no hit, and what they can add is a bound of
+    each item (``rest``). The lists of the others are walked by block-max WAND. Lists are cut into
+    blocks of neighbouring items, each with a maximum impact.
     """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, block: int = 16, k1: float = 1.2, b: float = 0.75, collection: Collection | None = None):
-        collection = collection or Collection(items)
+        collection = collection or Collection.of(items)
         self.ids = [i for i, _ in items]
         self.threshold, self.block = threshold, block
         parsed = [self.parsed(t) for _, t in items]
@@ -89,9 +96,11 @@ class Index:
         bt = t[order] * max(blocks, 1) + self.item // block
         self.bkey, first = np.unique(bt, return_index=True)
         self.bmax = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.bfirst = np.r_[first, len(bt)]
         self.blocks = max(blocks, 1)
         self.tbegin = np.searchsorted(self.bkey, np.arange(len(self.terms) + 1) * self.blocks)
+        # the largest impact of each list, and the largest bound of any item
+        self.tmax = np.maximum.reduceat(self.impact, self.begin[:-1]) if len(self.terms) else np.zeros(0)
+        self.most_rest = float(rest.max(initial=0))
         self.hit = np.zeros(1 << 20, bool)
         self.hit[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -117,28 +126,57 @@ class Index:
         out[maybe[ok]] = at[ok]
         return out
 
-    def search(self, window_of: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) candidates from distinct (window, essential term) pairs, by block-max bounds."""
+    def hopeful(self, window_of: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Which of the distinct (window, essential term) pairs are of a window whose lists' maxima reach the threshold."""
+        windows, inverse = np.unique(window_of, return_inverse=True)
+        return (np.bincount(inverse, self.tmax[term], len(windows)) + self.most_rest >= self.threshold - 1e-9)[inverse]
+
+    def wand(self, terms: np.ndarray) -> list[int]:
+        """The items that may reach the threshold for a passage of these distinct essential terms, by block-max WAND.
+
+        Lists stand at their next item, in that order. The pivot is the first list at which the
+        maxima of the lists so far reach the threshold: no smaller item can. If the block maxima at
+        the pivot's item do not, all lists up to it skip to the nearest end of such a block.
+        """
+        goal, found = self.threshold - 1e-9, []
+        # (item now, position, end, number of the term)
+        lists = [[int(self.item[self.begin[k]]), int(self.begin[k]), int(self.begin[k + 1]), int(k)] for k in terms]
+
+        def skip(x, to):
+            x[1] += int(np.searchsorted(self.item[x[1] : x[2]], to))
+            x[0] = int(self.item[x[1]]) if x[1] < x[2] else len(self.ids)
+
+        while True:
+            lists = sorted(x for x in lists if x[1] < x[2])
+            total, at = self.most_rest, 0
+            for at, x in enumerate(lists):  # noqa: B007
+                total += self.tmax[x[3]]
+                if total >= goal:
+                    break
+            if not lists or total < goal:
+                return found
+            pivot = lists[at][0]
+            while at + 1 < len(lists) and lists[at + 1][0] == pivot:
+                at += 1
+            block = pivot // self.block
+            if sum(self._block_max(x[3], block) for x in lists[: at + 1]) + self.block_rest[block] < goal:
+                to = min((block + 1) * self.block, lists[at + 1][0] if at + 1 < len(lists) else len(self.ids))
+                for x in lists[: at + 1]:
+                    skip(x, to)
+            elif lists[0][0] == pivot:
+                if sum(self.impact[x[1]] for x in lists[: at + 1]) + self.rest[pivot] >= goal:
+                    found.append(pivot)
+                for x in lists[: at + 1]:
+                    skip(x, pivot + 1)
+            else:
+                for x in lists[:at]:
+                    if x[0] < pivot:
+                        skip(x, pivot)
+
+    def _block_max(self, term: int, block: int) -> float:
         lo, hi = self.tbegin[term], self.tbegin[term + 1]
-        n = hi - lo
-        row = np.repeat(np.arange(len(term)), n)
-        at = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + lo[row]
-        block = self.bkey[at] % self.blocks
-        key = window_of[row] * self.blocks + block
-        keys, inverse = np.unique(key, return_inverse=True)
-        bound = np.bincount(inverse, self.bmax[at], len(keys)) + self.block_rest[keys % self.blocks]
-        keep = bound[inverse] >= self.threshold - 1e-9
-        row, at = row[keep], at[keep]
-        if not len(at):
-            return row, at
-        m = self.bfirst[at + 1] - self.bfirst[at]
-        row = np.repeat(row, m)
-        p = np.arange(m.sum()) - np.repeat(np.r_[0, np.cumsum(m)[:-1]], m) + np.repeat(self.bfirst[at], m)
-        key = window_of[row] * len(self.ids) + self.item[p]
-        keys, inverse = np.unique(key, return_inverse=True)
-        bound = np.bincount(inverse, self.impact[p], len(keys)) + self.rest[keys % len(self.ids)]
-        keys = keys[bound >= self.threshold - 1e-9]
-        return keys // len(self.ids), keys % len(self.ids)
+        i = lo + np.searchsorted(self.bkey[lo:hi], term * self.blocks + block)
+        return self.bmax[i] if i < hi and self.bkey[i] == term * self.blocks + block else 0.0
 
     def score(self, present: np.ndarray, item: int) -> float:
         """BM25 of the item for a set of term numbers."""
@@ -180,8 +218,12 @@ def _matches(index: Index, hashes: np.ndarray, first: np.ndarray, text_of: np.nd
     key = np.unique(windows * len(index.terms) + terms)
     if not len(key):
         return []
+    windows, terms = key // len(index.terms), key % len(index.terms)
+    hopeful = index.hopeful(windows, terms)
+    windows, terms = windows[hopeful], terms[hopeful]
+    cut = np.flatnonzero(np.diff(windows)) + 1
     best: dict = {}
-    for v, item in zip(*index.search(key // len(index.terms), key % len(index.terms)), strict=True):
+    for v, item in ((int(windows[p[0]]), i) for p in np.split(np.arange(len(windows)), cut) if len(p) for i in index.wand(terms[p])):
         t = int(np.searchsorted(base, v, side="right") - 1)
         b = first[t] + (v - base[t]) * step
         present = np.unique(term[b : min(b + window, first[t + 1])])
@@ -211,32 +253,58 @@ def _hits(indexes: list[tuple[Index, int]], question: float, answer: float):
     return run
 
 
+def _parsed(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [Index.parsed(t) for t in batch.column(1).to_pylist()]
+        terms = pa.array([w.view(np.int64) for _, w, _ in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(bag) for _, _, bag in found], pa.int64()), terms], ["item_id", "text", "length", "terms"])
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Lists of (item_id, text) of bounded size, in item order; repeated items count once, empty ones not."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND length(trim(text)) > 0").dropDuplicates().orderBy("item_id", "text")
+    """(items, collection) in item order, each block of bounded size; repeated items count once, empty ones not.
+
+    The number of items, their mean length and the items of each term are counted over the whole
+    benchmark by Spark, and a block carries those of its own terms: scores do not depend on blocks.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND length(trim(text)) > 0").dropDuplicates()
+    items = stored(items.mapInArrow(_parsed, "item_id long, text string, length long, terms array<long>"))
+    n, length = items.agg(F.count("*"), F.sum("length")).first()
+    flat = items.select("item_id", "text", F.explode_outer("terms").alias("term"))
+    counts = flat.groupBy("term").agg(F.count("*").alias("df"))
+    known = flat.join(counts.withColumnRenamed("term", "t"), F.col("term").eqNullSafe(F.col("t")))
+    known = known.groupBy("item_id", "text").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "df"))).alias("terms"))
+
+    def block_of(rows):
+        pairs = sorted({(t, d) for _, _, ts in rows for t, d in ts})
+        terms = np.array([t for t, _ in pairs], np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        return [(i, t) for i, t, _ in rows], Collection(n, length or 0, terms[order], np.array([d for _, d in pairs], np.int64)[order])
+
     block, size = [], 0
-    for r in items.toLocalIterator():
+    for r in known.orderBy("item_id", "text").toLocalIterator():
         if block and size + len(r[1]) > block_bytes:
-            yield block
+            yield block_of(block)
             block, size = [], 0
-        block.append((r[0], r[1]))
+        block.append((r[0], r[1], r[2]))
         size += len(r[1])
     if block:
-        yield block
+        yield block_of(block)
+    unstored(items)
 
 
 def by_length(items: list[tuple[int, str]], window: int) -> list[tuple[list[tuple[int, str]], int]]:
-    """(items, window): items of at most half a window, and longer ones by powers of two; windows are twice the longest of the group.
+    """(items, window): items of at most half a window, and longer ones by powers of two of twice their words.
 
-    Verification does not look at the order or nearness of words, so a short item must not be searched in the windows of a long one.
+    An item's window depends on its own length alone. Verification does not look at the order or
+    nearness of words, so a short item must not be searched in the windows of a long one.
     """
     groups: dict = {}
     for i, t in items:
         n = len(words_of(t))
-        group = groups.setdefault((2 * n - 1).bit_length() if 2 * n > window else 0, [[], window])
-        group[0].append((i, t))
-        group[1] = max(group[1], 2 * n)
-    return [(g, w) for _, (g, w) in sorted(groups.items())]
+        groups.setdefault(window if 2 * n <= window else 1 << (2 * n - 1).bit_length(), []).append((i, t))
+    return [(g, w) for w, g in sorted(groups.items())]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, window: int = 128, question: float = 0.6, answer: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -244,15 +312,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
     Every window of every document is a query; items with a score of at least ``threshold`` of their
     own score are verified by their question's and answer's words in the window. Case and punctuation
-    do not count. Windows are twice
-    as long as their step, and at least twice the longest item of a group of like length. Null and empty texts have
-    no hits; repeated rows have theirs repeated; an empty benchmark gives no rows.
+    do not count. Windows are twice as long as their step, and at least twice as long as the item
+    searched in them: ``window`` words, or for long items a power of two. The benchmark is indexed in
+    blocks of bounded size, which do not change the result. Texts of any length are read whole, in
+    overlapping windows. Null and empty texts have no hits; repeated rows have theirs repeated; an
+    empty benchmark or table gives no rows. Only doc_id and text are read, whatever other columns there are.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     base, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for block in item_blocks(benchmark, block_bytes):
-        collection = Collection(block)
+    for block, collection in item_blocks(benchmark, block_bytes):
         indexes = [(Index(items, threshold, collection=collection), wide) for items, wide in by_length(block, window)]
         found = base.mapInArrow(_hits(indexes, question, answer), schema)
         out = found if out is None else out.unionByName(found)
@@ -260,6 +329,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no test item is found; rows with a null doc_id are kept."""
-    bad = decontaminate(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """The documents in which no test item is found, with their columns; rows with a null doc_id are kept."""
+    leaked = spare_name(docs, "_leaked")
+    bad = decontaminate(docs, benchmark, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad[leaked], "left_anti")

@@ -283,7 +283,6 @@ def test_line_dedup_rules(spark):
 # op7
 def test_decontamination(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rng = random.Random(1)
     clean = [t for _, t in collected(real(spark)) if t and not any(" ".join(x.split()) in " ".join(t.split()) for _, x in items)]
     planted = [(10**6 + i, f"{clean[i % len(clean)][:300]}\n{t}\n{PROSE[i % 8]}") for i, (_, t) in enumerate(items)]
     noisy = [(2 * 10**6 + i, " ".join(w.upper() + "##" for w in f"{PROSE[0]} {t} {PROSE[1]}".split())) for i, (_, t) in enumerate(items)]
@@ -291,8 +290,8 @@ def test_decontamination(spark):
     b = spark.createDataFrame([*items, (None, "x"), (10**6, None), (10**6 + 1, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(d, b).collect()}
     assert got == {(i, k) for (i, _), (k, _) in zip(planted, items, strict=True)} | {(i, k) for (i, _), (k, _) in zip(noisy, items, strict=True)}
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(d, b, block_bytes=2000).collect()}
-    assert got == blocks and rng
+    whole, blocks = (sorted(map(tuple, decontaminate.decontaminate(d, b, block_bytes=n).collect())) for n in (10**9, 2000))
+    assert len(whole) == len(blocks) and all(x[:2] == y[:2] and np.allclose(x[2:], y[2:]) for x, y in zip(whole, blocks, strict=True))
     assert decontaminate.without_leaks(d, b).count() == d.count() - len(planted) - len(noisy)
 
 
@@ -309,19 +308,57 @@ def test_long_items_do_not_widen_the_windows_of_short_ones(spark):
     assert {r["doc_id"] for r in decontaminate.without_leaks(d, b).collect()} == {i for i, _ in spread}
 
 
-def test_index_finds_what_scoring_all_finds():
+def bm25(items, threshold, text, window):
+    """Scores of all items in all windows by the formula, over item texts: {item: best share of its own score}."""
+    bags = {i: decontaminate.words_of(t) for i, t in items}
+    df, mean = defaultdict(int), sum(map(len, bags.values())) / len(bags)
+    for bag in bags.values():
+        for w in set(bag):
+            df[w] += 1
+
+    def impact(bag, w):
+        tf = bag.count(w)
+        return np.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+
+    words, out = decontaminate.words_of(text), {}
+    for at in range(0, max(1, len(words)), window // 2):
+        present = set(words[at : at + window])
+        for i, bag in bags.items():
+            own = {w: impact(bag, w) for w in set(bag)}
+            x = sum(v for w, v in own.items() if w in present) / sum(own.values())
+            if x >= threshold - 1e-9:
+                out[i] = max(out.get(i, 0), x)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [400, 10**9])
+def test_scores_are_those_of_the_formula_in_any_blocks(spark, block_bytes):
+    """Items of early blocks share words that are rare in late ones."""
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(300)]
-    draw = lambda n: " ".join(vocabulary[int(300 * x**3)] for x in rng.random(n))
-    items = [(i, draw(20)) for i in range(60)]
-    index = decontaminate.Index(items, 0.5, block=4)
-    texts = [(draw(30) + " " + " ".join(items[i][1].split()[: rng.integers(5, 20)])).encode() for i in range(60)]
-    got = {(t, i) for t, i, *_ in decontaminate.matches(index, texts, 128, 0, 0)}
-    want = set()
-    for t, x in enumerate(texts):
-        present = np.unique(index.lookup(index._hashes(x.decode().split())))
-        want |= {(t, i) for i in range(60) if index.score(present[present >= 0], i) >= 0.5 - 1e-9}
-    assert got == want and want
+    draw = lambda n, lo=0: " ".join(vocabulary[int(lo + (300 - lo) * x**3)] for x in rng.random(n))
+    items = [(i, draw(20, 150 if i < 20 else 0)) for i in range(60)]
+    texts = [draw(30) + " " + " ".join(items[i][1].split()[: rng.integers(5, 20)]) + " " + draw(200) for i in range(60)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.decontaminate(docs(spark, texts), b, 0.5, 64, 0.0, 0.0, block_bytes).collect()}
+    want = {(t, i): x for t, text in enumerate(texts) for i, x in bm25(items, 0.5, text, 64).items()}
+    assert set(got) == set(want) and len(want) > 40 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("block", [1, 4, 16])
+def test_wand_finds_what_scoring_all_finds(block):
+    rng = np.random.default_rng(block)
+    vocabulary = [f"w{i}" for i in range(200)]
+    draw = lambda n: " ".join(vocabulary[int(200 * x**3)] for x in rng.random(n))
+    items = [(i, draw(15)) for i in range(150)]
+    for threshold in (0.3, 0.6):
+        index = decontaminate.Index(items, threshold, block=block)
+        for _ in range(40):
+            present = index.lookup(index._hashes(sorted(set((draw(25) + " " + items[rng.integers(150)][1]).split()))))
+            present = np.unique(present[present >= 0])
+            want = {i for i in range(150) if index.score(present, i) >= threshold - 1e-9}
+            got = index.wand(present[index.essential[present]])
+            assert want <= set(got) and len(set(got)) == len(got) and got == sorted(got)
 
 
 # op8

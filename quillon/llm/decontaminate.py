@@ -59,7 +59,7 @@ class Index:
     blocks of neighbouring items, each with a maximum impact.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, block: int = 16, k1: float = 1.2, b: float = 0.75, collection: Collection | None = None):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, block: int = 4, k1: float = 1.2, b: float = 0.75, collection: Collection | None = None):
         collection = collection or Collection.of(items)
         self.ids = [i for i, _ in items]
         self.threshold, self.block = threshold, block
@@ -127,9 +127,22 @@ class Index:
         return out
 
     def hopeful(self, window_of: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """Which of the distinct (window, essential term) pairs are of a window whose lists' maxima reach the threshold."""
+        """Which of the distinct (window, essential term) pairs are of a window with a block that may reach the threshold.
+
+        Bounds of many windows are summed at once, first by the lists' maxima, then by those of the blocks.
+        """
+        goal = self.threshold - 1e-9
         windows, inverse = np.unique(window_of, return_inverse=True)
-        return (np.bincount(inverse, self.tmax[term], len(windows)) + self.most_rest >= self.threshold - 1e-9)[inverse]
+        hope = (np.bincount(inverse, self.tmax[term], len(windows)) + self.most_rest >= goal)[inverse]
+        pair = np.flatnonzero(hope)
+        lo, n = self.tbegin[term[pair]], (self.tbegin[1:] - self.tbegin[:-1])[term[pair]]
+        row = np.repeat(np.arange(len(pair)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+        keys, of = np.unique(inverse[pair[row]] * self.blocks + self.bkey[at] % self.blocks, return_inverse=True)
+        bound = np.bincount(of, self.bmax[at], len(keys)) + self.block_rest[keys % self.blocks]
+        good = np.zeros(len(windows), bool)
+        good[keys[bound >= goal] // self.blocks] = True
+        return good[inverse]
 
     def wand(self, terms: np.ndarray) -> list[int]:
         """The items that may reach the threshold for a passage of these distinct essential terms, by block-max WAND.

@@ -498,6 +498,45 @@ def test_html_keeps_all_sections_of_an_article():
     assert html_extract.main_text(f"<div>{'g' * 400}</div><div><a>x</a><a>y</a></div>") == "g" * 400
 
 
+def test_html_marks_are_whole_names():
+    long = "A sentence of the text that goes on for a while, as they do. " * 4
+    page = f"""<body><div class="site-header top">Site</div><article><div class="post-header"><h1>The title</h1></div><p>{long}</p>
+<div id="search-engine-history"><p>{long}</p></div><div class="ad-slot-3">Buy</div><div class="comments_list"><p>{long}</p></div><div><p>The end.</p></div></article><div class="search">x</div></body>"""
+    assert html_extract.main_text(page).split("\n") == ["The title", long.strip(), long.strip(), "The end."]
+
+
+def test_html_without_article_markup():
+    rng = random.Random(4)
+    for _ in range(40):
+        paragraphs = [" ".join(rng.choices(PROSE[0].split(), k=rng.randint(30, 90))) for _ in range(rng.randint(3, 8))]
+        short = "So it ends."
+        menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(rng.randint(4, 12)))
+        text = "".join(rng.choice([f"<p>{x}</p>", f"<div>{x}</div>", f"<p><b>{x[:9]}</b>{x[9:]}<br>"]) for x in paragraphs)
+        body = f"<div class=top><ul>{menu}</ul></div><div id=c><h2>A title</h2>{text}<div><p>{short}</p></div></div><div><ul>{menu}</ul></div>"
+        assert html_extract.main_text(f"<body>{body}</body>").split("\n") == ["A title", *paragraphs, short]
+        # each paragraph in a box of its own, and a short one between two of them
+        apart = f"<ul>{menu}</ul>" + f"<div><p>{paragraphs[0]}</p></div><div><p>{short}</p></div>" + "".join(f"<div><p>{x}</p></div>" for x in paragraphs[1:]) + f"<ul>{menu}</ul>"
+        assert html_extract.main_text(apart).split("\n") == [paragraphs[0], short, *paragraphs[1:]]
+
+
+def test_html_clusters_choose_the_regions():
+    long = "A sentence of the text that goes on for a while, as they do. " * 4
+    page = f"<body><div><p>Links <a>a</a> <a>b</a> <a>c</a></p></div><article><p>One</p></article><article><p>{long}</p><p>{long}</p></article><div><i>o</i><b>p</b><u>q</u></div></body>"
+    assert html_extract.main_text(page) == f"{long.strip()}\n{long.strip()}"
+    assert html_extract.main_text(page, lambda lines, _: [True] * len(lines)) == f"One\n{long.strip()}\n{long.strip()}"
+    assert html_extract.main_text(page, lambda lines, _: [x.text == "One" for x in lines]) == "One"
+    assert html_extract.main_text(page.replace("article", "div")) == f"{long.strip()}\n{long.strip()}"
+
+
+def test_html_time_follows_the_length():
+    import time
+
+    for tag in ("<div>", "<p><b>", "<li>", "<ul><li>", "<div class='a b c'>", "<a><i>", "</div>", "<p>x</b>", "<article>t"):
+        t = time.time()
+        html_extract.main_text(tag * (1_000_000 // len(tag)))
+        assert time.time() - t < 20, tag
+
+
 def test_html_of_the_pages(spark):
     import html
 

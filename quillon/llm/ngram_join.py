@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._text import M64, mix, shared_checkpoints, shingles, slices, stored
+from quillon.llm._text import M64, mix, shared_checkpoints, shingles, slices, spare_name, stored
 from quillon.llm.components import connected_components
 
 LEVEL = 1.5
@@ -43,6 +43,10 @@ RANGE, CHUNK = 1_000_000, 1_000_000
 SMALL = 24
 #: rounds of pivots at most, candidates by hash in each, and the share of rows below which a round is the last
 ROUNDS, SAMPLED, WORTH = 12, 6, 0.1
+#: sets in one verification chunk, however small; pairs held before they are verified
+MEMBERS, PAIRS = 4000, 1_000_000
+#: pivots tried within a chunk, and candidates for each
+CORES, TRIED = 8, 16
 
 
 def level_of(n: int) -> int:
@@ -117,7 +121,7 @@ def _keys(size: int, percent: int):
 
         for rows, texts in slices(batches):
             sets = shingles(texts, size)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([parity_sketch(s, percent) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([parity_sketch(s, percent) for s in sets], pa.binary())], ["doc_id", "row_key", "n_shingles", "set_key", "sketch"])
 
     return run
 
@@ -304,22 +308,49 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, pe
         np.bitwise_xor.at(sk[i], ((x >> np.uint64(40)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
     a, b = [], []
     reach = np.searchsorted(n, 100 * n // percent, side="right")  # partners are at most so large
-    found = []
+    least = np.searchsorted(n, -(-percent * n // 100), side="left")
+    one_side = bool((sides == sides[0]).all())
+
+    def near(i, js):
+        d = np.bitwise_count(sk[js] ^ sk[i]).sum(1).astype(np.int64)
+        return d, d * (100 + percent) <= (100 - percent) * (n[js] + n[i])
+
+    if one_side and core is None:
+        # near copies of one text are joined around it first, so that pairs among them need not be looked at
+        loose = np.arange(m)
+        for turn in range(CORES):
+            if len(loose) < 4 * TRIED:
+                break
+            tried = loose[np.linspace(0, len(loose) - 1, TRIED).astype(int)]
+            sizes = [int(near(i, np.arange(least[i], reach[i]))[1].sum()) for i in tried]
+            pivot = int(tried[int(np.argmax(sizes))])
+            if max(sizes) < TRIED:
+                break
+            js = np.arange(least[pivot], reach[pivot])
+            js = js[js != pivot]
+            d, ok = near(pivot, js)
+            _settle([(d[ok] / (n[js[ok]] + n[pivot]), np.full(ok.sum(), pivot), js[ok])], sets, n, parent, root, percent, a, b)
+            r = root(pivot)
+            loose = np.array([i for i in loose if root(i) != r], np.int64)
+    label = np.array([root(i) for i in range(m)])
+    found, held = [], 0
     for i in range(m):
         e = reach[i]
         if e <= i + 1:
             continue
         js = np.arange(i + 1, e)
-        if sides[0] != sides[-1] or (sides != sides[0]).any():
+        if not one_side:
             js = js[sides[js] != sides[i]]
-            if not len(js):
-                continue
-        d = np.bitwise_count(sk[js] ^ sk[i]).sum(1).astype(np.int64)
-        ok = d * (100 + percent) <= (100 - percent) * (n[js] + n[i])
+        js = js[label[js] != label[i]]
+        if not len(js):
+            continue
+        d, ok = near(i, js)
         if ok.any():
             found.append((d[ok] / (n[js[ok]] + n[i]), np.full(ok.sum(), i), js[ok]))
-        if len(found) > 512:
-            found = _settle(found, sets, n, parent, root, percent, a, b)
+            held += int(ok.sum())
+        if held > PAIRS:
+            found, held = _settle(found, sets, n, parent, root, percent, a, b), 0
+            label = np.array([root(i) for i in range(m)])
     _settle(found, sets, n, parent, root, percent, a, b)
     return [int(ids[i]) for i in a], [int(ids[j]) for j in b]
 
@@ -345,7 +376,7 @@ def _verify(percent: int):
         import pyarrow as pa
 
         cluster = table.column("cluster").to_numpy()
-        ids, chunk = table.column("rep").to_numpy(), table.column("chunk").to_numpy()
+        ids, chunk = table.column("set_key").to_numpy(), table.column("chunk").to_numpy()
         i = table.column("i")[0].as_py()
         if i != table.column("j")[0].as_py() and (chunk == chunk[0]).all():
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})  # one side of two is empty
@@ -390,8 +421,8 @@ def around_pivots(members: DataFrame, sets: DataFrame, near: DataFrame, percent:
         seen = stored(seen.dropDuplicates(["set_key"]))
         cores = F.array(*(F.sum((F.coalesce(F.try_element_at("near", F.lit(i + 1)), F.lit(0)) == 2).cast("long")) for i in range(SAMPLED + 1)))
         best = seen.groupBy("cluster").agg(cores.alias("cores")).select(F.col("cluster").alias("c"), F.expr("int(array_position(cores, array_max(cores)))").alias("best"))
-        at = stored(seen.join(best, F.col("cluster") == F.col("c")).select("set_key", "rep", "n", "degree", "cluster", F.element_at("pivots", F.col("best"))["rep"].alias("pivot"), F.element_at("near", F.col("best")).alias("v")))
-        found = at.where("v = 2").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        at = stored(seen.join(best, F.col("cluster") == F.col("c")).select("set_key", "rep", "n", "degree", "cluster", F.element_at("pivots", F.col("best"))["key"].alias("pivot"), F.element_at("near", F.col("best")).alias("v")))
+        found = at.where("v = 2").select(F.col("pivot").alias("a"), F.col("set_key").alias("b"))
         links = found if links is None else links.unionByName(found)
         sides = at.groupBy("cluster").agg(*(F.ceil(F.sum(F.expr(f"if(v = {v}, n, 0)")) / chunk).cast("int").alias(name) for v, name in ((1, "rings"), (2, "cores")))).where("rings > 0")
         ring = f"transform(sequence(0, cores - 1), x -> struct(cluster AS t, int({-2 - turn} - {ROUNDS} * pmod(xxhash64(set_key), rings)) AS i, x AS j))"
@@ -408,18 +439,16 @@ def around_pivots(members: DataFrame, sets: DataFrame, near: DataFrame, percent:
     return rest if tasks is None else rest.unionByName(tasks), links
 
 
-def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents joined by chains of links of at least ``percent`` Jaccard.
+def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n_shingles, set_key), one for each of docs, and the class of every set: (k, rep, component).
 
-    Only doc_id and text are read; other columns, whatever their names, are ignored. Null or empty
-    texts have an empty set and link with nothing. Equal sets are one set from the start. Repeated
-    rows of a doc_id give one result row each; a null doc_id keeps its row, with a null component
-    unless it links to another. Set keys and features are 64-bit hashes.
+    Nodes are set keys, so that documents of one doc_id with different texts are different nodes. The
+    class is named by its smallest set key. docs are (doc_id, row_key, text).
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = base.mapInArrow(_keys(size, percent), "doc_id long, n_shingles long, set_key long, sketch binary").checkpoint()
+    base = docs.select("doc_id", "text")
+    keyed = docs.mapInArrow(_keys(size, percent), "doc_id long, row_key string, n_shingles long, set_key long, sketch binary").checkpoint()
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(64, math.ceil(total * 0.5 / RANGE))
     blocks = base.mapInArrow(_blocks(size, percent, ranges), "r int, block binary")
@@ -430,7 +459,9 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
     pairs = pairs.join(side("a"), F.col("a") == F.col("ka")).join(side("b"), F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "sa", "sb")
     near = pairs.mapInArrow(_near(percent), "a long, b long").checkpoint()
     clusters = connected_components(near.unionByName(found.where("tie").select("a", "b")))
-    members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", "n", "set_key", F.col("component").alias("cluster")).checkpoint()
+    # the weight of a set is its shingles and a part of a chunk, so that chunks are bounded in sets as well
+    weight = (F.col("n") + math.ceil(chunk / MEMBERS)).alias("n")
+    members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", weight, "set_key", F.col("component").alias("cluster")).checkpoint()
     sized = members.groupBy("cluster").agg(F.sum("n").alias("s"))
     all_of, largest = sized.agg(F.sum("s"), F.max("s")).first()
     # clusters of one chunk share tasks
@@ -448,14 +479,59 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
         many = members.join(large, F.col("cluster") == F.col("c"), "left_semi")
         sets = with_features(many.select("set_key", "rep")).select("set_key", "features").checkpoint()
         parts, links = around_pivots(many, sets, near, percent, chunk, alone)
-        parts = parts.select(F.col("set_key").alias("k"), "rep", "cluster", "chunk", F.explode("tasks").alias("x"))
-        parts = sets.join(parts, F.col("set_key") == F.col("k")).select("rep", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
-    tasks = with_features(few.select("set_key", "rep", "cluster")).select("rep", "cluster", F.lit(0).alias("chunk"), "features", F.explode(alone).alias("x"))
-    tasks = tasks.select("rep", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
+        parts = parts.select(F.col("set_key").alias("k"), "cluster", "chunk", F.explode("tasks").alias("x"))
+        parts = sets.join(parts, F.col("set_key") == F.col("k")).select("set_key", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
+    tasks = with_features(few.select("set_key", "rep", "cluster")).select("set_key", "cluster", F.lit(0).alias("chunk"), "features", F.explode(alone).alias("x"))
+    tasks = tasks.select("set_key", "cluster", "chunk", "features", "x.t", "x.i", "x.j")
     tasks = tasks if links is None else tasks.unionByName(parts)
     verified = tasks.groupBy("t", "i", "j").applyInArrow(_verify(percent), "a long, b long")
     links = verified if links is None else verified.unionByName(links)
     joined = connected_components(links)
-    known = reps.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
-    out = keyed.join(known, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = reps.select("set_key", "rep").join(joined, F.col("set_key") == F.col("node"), "left")
+    return keyed.select("doc_id", "row_key", "n_shingles", "set_key"), known.select(F.col("set_key").alias("k"), "rep", F.coalesce("component", "set_key").alias("component"))
+
+
+def _row_key():
+    id_, text = F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("="), "text")
+    return F.md5(F.concat_ws("\0", F.coalesce(id_, F.lit("")), F.coalesce(text, F.lit("-"))))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, text): rows of one doc_id and one text have one row key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text")
+
+
+def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents joined by chains of links of at least ``percent`` Jaccard.
+
+    Only doc_id and text are read; other columns, whatever their names, are ignored. Null or empty
+    texts have an empty set and link with nothing. Texts of any length are read whole. Equal sets are
+    one set from the start. Repeated rows give one result row each; rows of one doc_id with different texts are
+    classed apart. A null doc_id keeps its row, with a null component unless its set is that of a document
+    with an id. Set keys and features are 64-bit hashes.
+    """
+    keyed, known = _classes(_rows(docs).withColumn("row_key", F.lit("")), size, percent, chunk)
+    low = known.groupBy("component").agg(F.min("rep").alias("low")).withColumnRenamed("component", "c")
+    named = known.join(low, F.col("component") == F.col("c")).select("k", "low")
+    out = keyed.join(named, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+    """The documents' columns, with one row of each class of linked documents.
+
+    The row with the smallest doc_id stays, of several texts of that doc_id the one with the smallest
+    row hash, and of identical rows one. Rows of one doc_id with unlinked texts both stay. Documents
+    without words are linked with nothing, and only repeated rows of them go. Rows with a null
+    doc_id go if their set is that of a document with an id; else, if repeated, one stays.
+    """
+    keyed, known = _classes(_rows(docs), size, percent, chunk)
+    rows = keyed.where("n_shingles > 0").join(known, F.col("set_key") == F.col("k")).select("component", "doc_id", "row_key")
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")
+    heads = rows.groupBy("component").agg(F.min(first)["row_key"].alias("head"))
+    gone = rows.join(heads.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).where("row_key <> head")
+    key, other = spare_name(docs, "_row"), spare_name(docs, "_gone")
+    gone = gone.select(F.col("row_key").alias(other)).distinct()
+    j = docs.withColumn(key, _row_key())
+    j = j.join(gone, F.col(key) == F.col(other), "left_anti").dropDuplicates([key])
+    return j.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -437,6 +437,31 @@ def test_cores_are_not_compared_with_each_other(spark):
     assert (tasks.selectExpr("size(tasks) AS k").agg({"k": "sum"}).first()[0] or 0) <= 300
 
 
+def test_a_chunk_of_near_copies_takes_little_time():
+    import time
+
+    rng = np.random.default_rng(9)
+    hub = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.r_[hub[rng.permutation(60)[:58]], rng.integers(0, 1 << 63, 1).astype(np.uint64)]) for _ in range(4000)]
+    t = time.time()
+    a, b = ngram_join.linked_forest(np.arange(4000), sets, np.zeros(4000, int), 85)
+    assert len(a) == 3999 and time.time() - t < 5
+    loose = [np.unique(np.r_[s[:30], rng.integers(0, 1 << 63, 30).astype(np.uint64)]) for s in sets[:300]]
+    forest = ngram_join.linked_forest(np.arange(600), sets[:300] + loose, np.zeros(600, int), 85)
+    assert len(forest[0]) == 299
+
+
+def test_one_of_each(spark):
+    copy = PROSE[0] + " tail"
+    rows = [(7, copy), (7, copy), (9, copy), (9, PROSE[1]), (5, PROSE[2]), (6, PROSE[2].upper()), (8, None), (8, None), (8, ""), (None, copy), (None, PROSE[3]), (None, PROSE[3]), (3, PROSE[4] + " a b"), (2, PROSE[4])]
+    d = docs(spark, rows).withColumn("_gone", F.lit(1)).withColumn("_row", F.lit("r"))
+    out = ngram_join.one_of_each(d)
+    assert out.columns == d.columns
+    got = sorted(map(repr, collected(out)))
+    assert got == sorted(map(repr, [(7, copy), (9, PROSE[1]), (5, PROSE[2]), (8, None), (8, ""), (None, PROSE[3]), (2, PROSE[4])]))
+    assert ngram_join.one_of_each(d.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("percent", [60, 75, 80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)

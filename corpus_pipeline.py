@@ -19,33 +19,49 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the compression classifier rejects."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("_score >= 0.3").select(*docs.columns)
+    """Drops the documents that the compression classifier rejects (score below 0.3).
+
+    Whole texts are scored; null texts count as empty; repeated rows go or stay alike; an empty table
+    stays empty; columns of any name are kept.
+    """
+    return quality.kept(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs of 50 words or more; documents left without words go."""
-    return line_dedup.line_dedup(docs, drop_emptied=True).select(*docs.columns)
+    """Deletes later copies of repeated line runs of 50 words or more; documents left without words by that go.
+
+    The first copy by (doc_id, text hash, line) stays. Null and empty texts stay as they are, rows of
+    one doc_id and one text are one document and stay alike; columns of any name are kept.
+    """
+    return line_dedup.line_dedup(docs, drop_emptied=True).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    groups = ngram_join.ngram_join(docs, size=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(groups, F.col("doc_id") == F.col("_copy"), "left_anti").select(*docs.columns)
+    """Keeps one document of every group of near copies: five-word shingles, Jaccard 0.8 or more.
+
+    The smallest doc_id stays, one row of repeated rows, and every text of a repeated doc_id that is
+    in no group with another. Documents without words are in no group. Columns of any name are kept.
+    """
+    return ngram_join.one_of_each(docs, size=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a test item."""
-    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    """Drops the documents that hold a test item; null and empty texts and rows without doc_id stay, repeated rows go or stay alike."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 2048 tokens."""
+    """Pieces of the documents in windows of 2048 tokens; null texts are empty, repeated rows are packed as often as they stand."""
     return packing.pack(docs)
 
 
-STAGES = [("quality", keep_quality), ("line_dedup", dedup_lines), ("ngram_join", one_of_each_group), ("decontamination", without_benchmark), ("packing", packed)]
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

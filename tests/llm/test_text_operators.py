@@ -271,6 +271,50 @@ def test_line_dedup_brute(spark):
     assert got == brute_dedup(list(enumerate(texts)), 6)
 
 
+def test_ranks_are_those_of_the_sorted_suffixes(spark):
+    """In each round, ranks order the suffixes by their first k lines, equal where these are, and are there where these repeat."""
+    rng = random.Random(11)
+    pool = [rng.choice("abc") + (" x" * rng.randint(0, 2)) for _ in range(4)] + [""]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(5, 30))) for _ in range(25)]
+    lines = [x.split("\n") for x in texts]
+    ids = {x: i for i, x in enumerate(sorted({y.strip(" ") for x in lines for y in x}, key=lambda y: tuple(int(h[0]) for h in line_dedup.line_ids([y.encode()])[3:])))}
+    base = docs(spark, texts).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    total = 0
+    for k, state, _ in line_dedup.rounds(base, 9):
+        prefix = lambda d, i: tuple(ids[y.strip(" ")] for y in lines[d][i : i + k])  # noqa: B023, E731
+        every = defaultdict(int)
+        for d, x in enumerate(lines):
+            for i in range(len(x) - k + 1):
+                every[prefix(d, i)] += 1
+        rows = [(prefix(r["doc_id"], r["line"]), r["rank"]) for r in state.collect()]
+        there = sorted((p, r) for p, r in rows if r is not None)
+        assert all(len(p) == k and every[p] > 1 for p, _ in there)
+        assert all((p == q) == (r == t) and (p < q) == (r < t) for (p, r), (q, t) in zip(there, there[1:], strict=False))
+        total += len(there)
+    assert total > 200 and k >= 4
+
+
+def test_line_dedup_of_many_separate_runs_and_hot_lines(spark):
+    import time
+
+    runs = [" ".join(random.Random(i).choices("abcdefgh", k=8)) for i in range(3000)]
+    texts = ["\n".join(runs), "\n".join(f"{x}\nown {i}" for i, x in enumerate(runs))] + ["common line of six words here\n" * 40 + f"tail {i}" for i in range(60)]
+    t = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, texts), 6).collect()}
+    assert time.time() - t < 60
+    assert got[0] == texts[0] and got[1] == "\n".join(f"own {i}" for i in range(3000))
+    assert got[2] == "common line of six words here\ntail 0" and all(got[i] == f"tail {i - 2}" for i in range(3, 62))
+
+
+def test_line_dedup_replaces_or_leaves_out_its_count(spark):
+    d = docs(spark, PROSE[:3]).withColumn("n_deleted", F.lit("mine")).withColumn("_starts", F.lit(1)).withColumn("_New", F.lit(2))
+    out = line_dedup.line_dedup(d)
+    assert out.columns == [c for c in d.columns if c != "n_deleted"] + ["n_deleted"] and {r["n_deleted"] for r in out.collect()} == {0}
+    out = line_dedup.line_dedup(d, counted=None)
+    assert out.columns == d.columns and {r["n_deleted"] for r in out.collect()} == {"mine"}
+    assert line_dedup.line_dedup(docs(spark, [(None, PROSE[0] * 2), (None, PROSE[0] * 2), (1, PROSE[0] * 2)])).where("text = ''").count() == 1
+
+
 def test_line_dedup_rules(spark):
     run = "\n".join(PROSE[:2])
     d = docs(spark, [run, "own line\n" + run + "\nend", run, None, "", "short\nshort"])

@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from quillon.llm._text import shared_checkpoints
@@ -33,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The first copy by (doc_id, text hash, line) stays. Null and empty texts stay as they are, rows of
     one doc_id and one text are one document and stay alike; columns of any name are kept.
     """
-    return line_dedup.line_dedup(docs, drop_emptied=True).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return line_dedup.line_dedup(docs, drop_emptied=True, counted=None)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

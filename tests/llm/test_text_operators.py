@@ -628,10 +628,95 @@ def test_chat(spark):
     assert got[1, 0]["reply_to"] is None and got[1, 1]["reply_to"] == 0 and got[1, 2]["reply_to"] == 1
     assert got[1, 3]["reply_to"] == 0 and got[1, 3]["text"] == "Answer to the first."
     assert got[1, 4]["reply_to"] == 1 and set(got[1, 4]["links"]) == {0, 1} and got[1, 4]["text"] == "Thanks for that."
-    assert got[2, 9]["reply_to"] == 5 and got[2, 9]["links"] == [] and got[2, 9]["text"] == "hello" and got[2, 5]["text"] == ""
-    out = {(r["conv_id"], r["segment"]): r for r in chat.chat_format(c, segment=3).collect()}
-    assert [m["turn"] for m in out[1, 0]["messages"]] == [0, 1, 2] and [m["turn"] for m in out[1, 1]["messages"]] == [3, 4] and out[1, 1]["n_linked"] == 2
-    assert not any(">" in m["text"] for r in out.values() for m in r["messages"])
+    assert got[2, 9]["reply_to"] == 5 and got[2, 9]["links"] == [] and got[2, 9]["text"] == "> not found anywhere at all\nhello" and got[2, 5]["text"] == ""
+    out = {(r["conv_id"], r["segment"]): r for r in chat.chat_format(c.withColumn("segment", F.lit(1)).withColumn("links", F.lit(2)), segment=3).collect()}
+    # 3 answers 0 as 1 does; 2 and 4 answer 1
+    assert [m["turn"] for m in out[1, 0]["messages"]] == [0, 1, 3] and [m["turn"] for m in out[1, 1]["messages"]] == [2, 4]
+    assert out[1, 0]["n_linked"] == out[1, 1]["n_linked"] == 1
+    assert not any(">" in m["text"] for k, r in out.items() for m in r["messages"] if k[0] == 1)
+
+
+def brute_chat(rows, min_words):
+    """{(conv, turn, role): (text, reply_to, links, position)} of conversations without nulls, with one message a turn and role."""
+    norm = lambda t: " ".join(t.lower().split())
+    out = {}
+    for conv in {c for c, *_ in rows}:
+        ms = sorted({(t, r, x) for c, t, r, x in rows if c == conv})
+
+        def parse(x):
+            runs = []
+            for raw in x.split("\n"):
+                marks = re.match(r"[ \t]*(?:>[ \t]?)+", raw)
+                level, line = (marks[0].count(">"), raw[len(marks[0]) :]) if marks else (0, raw)
+                if not runs or runs[-1][0] != level:
+                    runs.append((level, []))
+                runs[-1][1].append((raw, line))
+            return runs
+
+        own = defaultdict(set)
+        for t, _, x in ms:
+            free = [r for r in parse(x) if r[0] == 0]
+            for k in {norm(" ".join(y for r in free for _, y in r[1])), *(norm(" ".join(y for _, y in r[1])) for r in free), *(norm(y) for r in free for _, y in r[1])} - {""}:
+                own[k].add(t)
+        find = lambda k, t: min((o for o in own.get(k, ()) if o < t), default=None) if own.get(k) and min(own[k]) < t else None  # noqa: E731, B023
+        reply = {}
+        for t, r, x in ms:
+            kept, links, cut = [], set(), False
+            for level, ys in parse(x):
+                whole = find(norm(" ".join(y for _, y in ys)), t) if level else None
+                each = [find(norm(y), t) if level and norm(y) else None for _, y in ys]
+                good = [o for o, (_, y) in zip(each, ys, strict=True) if o is not None and len(y.split()) >= min_words]
+                links |= {(level, 0, -whole)} if whole is not None else set()
+                links |= {(level, 1, -o) for o in good}
+                hit = whole is not None or bool(good)
+                for o, (raw, y) in zip(each, ys, strict=True):
+                    if hit and (whole is not None or o is not None or not norm(y)):
+                        cut = True
+                    else:
+                        kept.append(raw)
+            links = [-o for _, _, o in sorted(links)]
+            links = list(dict.fromkeys(links))
+            before = max((u for u, *_ in ms if u < t), default=None)
+            reply[t, r] = links[0] if links else before
+            out[conv, t, r] = ["\n".join(kept).strip("\n") if cut else x, reply[t, r], links]
+        order = sorted({(-1 if reply[t, r] is None else reply[t, r], t) for t, r, _ in ms})
+        for t, r, _ in ms:
+            out[conv, t, r].append(order.index((-1 if reply[t, r] is None else reply[t, r], t)))
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_chat_against_brute_force(spark):
+    rng = random.Random(8)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = []
+    for conv in range(25):
+        said = []
+        for t in range(rng.randint(3, 14)):
+            for role in rng.sample(["user", "assistant"], rng.choice([1, 1, 2])):
+                lines = []
+                for _ in range(rng.randint(1, 4)):
+                    if said and rng.random() < 0.5:
+                        old = rng.choice(said).split("\n")
+                        lo = rng.randrange(len(old))
+                        marks = rng.choice(["> ", ">", ">> ", " > "])
+                        lines += [marks + (x if rng.random() < 0.9 else x + " changed").upper() for x in old[lo : lo + rng.randint(1, 3)]]
+                    else:
+                        lines += [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 2))] + [""] * (rng.random() < 0.2)
+                    if rng.random() < 0.1:
+                        lines.append(">>> import os")
+                said.append("\n".join(lines))
+                rows.append((conv, 2 * t, role, said[-1]))
+    c = spark.createDataFrame(rows + rows[:20], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"], r["role"]): (r["text"], r["reply_to"], r["links"], r["position"]) for r in chat.linked(c).collect()}
+    want = brute_chat(rows, 3)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert got == want and sum(bool(v[2]) for v in want.values()) > 40
+
+
+def test_prompts_stay(spark):
+    rows = [(1, 0, "user", "Try this:\n>>> import os\n>>> os.getcwd()\nIt fails."), (1, 1, "assistant", "> It fails.\n> from a letter nobody sent here\nWhy?")]
+    got = [r["text"] for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 2).orderBy("turn").collect()]
+    assert got == [rows[0][3], "> from a letter nobody sent here\nWhy?"]
 
 
 def test_chat_long_conversation(spark):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-METRICS = ["ret", "ret_l", "IC", "ICIR", "tvr", "sharpe", "dd", "pwin"]
+METRICS = ["ret", "ret_l", "ret_s", "IC", "ICIR", "tvr", "sharpe", "dd", "pwin"]
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,21 @@ class Thresholds:
         if self.tvr_min > self.tvr_max:
             raise ValueError("tvr_min is above tvr_max")
 
+    @staticmethod
+    def read(config: dict) -> Thresholds:
+        """From a configuration that has every threshold and an out_path (which is not one); others, and values that are no numbers, are errors."""
+        names = [f.name for f in fields(Thresholds)]
+        missing, unknown = sorted({*names, "out_path"} - set(config)), sorted(set(config) - {*names, "out_path", "backtest_folder"})
+        if missing or unknown:
+            raise ValueError(f"missing: {missing}, unknown: {unknown}")
+        return Thresholds(str(config["start_date"]), **{n: float(config[n]) for n in names if n != "start_date"})
+
+    @staticmethod
+    def load(path: str) -> Thresholds:
+        """From a JSON file."""
+        with open(path) as f:
+            return Thresholds.read(json.load(f))
+
 
 def parsed_date(c: str) -> Column:
     """YYYY-MM-DD, YYYYMMDD (or a number) or YYYY/MM/DD."""
@@ -50,6 +66,26 @@ def tvr_class(c: str, t: Thresholds) -> Column:
     return F.when(F.col(c) > t.tvr_max, -1).when(F.col(c) < t.tvr_min, 1).otherwise(0)
 
 
+def cover_class(c: str, t: float) -> Column:
+    """1 from the threshold, -1 below it, 0 for no number."""
+    return F.when(F.col(c).isNull() | F.isnan(c), 0).when(F.col(c) >= t, 1).otherwise(-1)
+
+
+def checks(t: Thresholds) -> dict[str, Column]:
+    """Every single check by name."""
+    return {
+        "ic": ic_class("IC", t.ic), "tvr": tvr_class("tvr", t), "cover": cover_class("long", t.cover), "ret": at_least("ret", t.ret), "ret_l": at_least("ret_l", t.ret_l),
+        "icir": at_least("ICIR", t.icir), "sharpe": at_least("sharpe", t.sharpe), "win": at_least("pwin", t.win), "dd": F.coalesce(F.col("dd") <= t.dd, F.lit(False)),
+    }
+
+
+def patched(text: Column, t: Thresholds) -> Column:
+    """A text with its turnover bounds set a tenth inside the thresholds."""
+    for name, value in (("tvr_max", t.tvr_max * 0.9), ("tvr_min", t.tvr_min * 1.1)):
+        text = F.regexp_replace(text, rf"{name}\s*=\s*[\d.]+", f"{name} = {value:.3f}")
+    return text
+
+
 def category(t: Thresholds) -> Column:
     """The first rule that holds; columns from, long and the metrics of the Total row."""
     ic, tvr = ic_class("IC", t.ic), tvr_class("tvr", t)
@@ -58,7 +94,7 @@ def category(t: Thresholds) -> Column:
     start = F.to_date(F.lit(t.start_date.replace("-", "").replace("/", "")), "yyyyMMdd")
     rules = [
         (F.col("from").isNull(), "drop"), (~F.coalesce(parsed_date("from") == start, F.lit(False)), "not_run"), (F.col("long").isNull(), "not_run"),
-        (F.col("long") < t.cover, "drop"), ((ic == 0) & (tvr != 1), "drop"), (ic == -1, "negative_ic"), (tvr == 1, "low_tvr"), (tvr == -1, "high_tvr"),
+        (cover_class("long", t.cover) == -1, "drop"), ((ic == 0) & (tvr != 1), "drop"), (ic == -1, "negative_ic"), (tvr == 1, "low_tvr"), (tvr == -1, "high_tvr"),
         (ret & dd & icir & win & ret_l, "all_pass"), (ret & dd & icir & win, "ret_long"), (ret & win, "high_dd"), ((ic != 0) & ret_l, "low_ret_s"), (ret & dd, "low_win"),
         (ret | F.coalesce(F.col("ret") + F.col("tvr") / 35 >= t.ret, F.lit(False)), "adjustable_ret"),
     ]
@@ -100,3 +136,20 @@ def extremes(stats: DataFrame, *by: str) -> DataFrame:
 def pivoted(stats: DataFrame, periods: list[str], metric: str = "ret") -> DataFrame:
     """One row a category, one column a period, for a bounded list of periods."""
     return stats.groupBy("category").pivot("period", periods).agg(F.avg(metric))
+
+
+#: metrics of the wide report, and their statistics
+REPORTED, STATISTICS = ("ret", "IC", "tvr", "sharpe"), (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+
+
+def wide_report(stats: DataFrame, categories: DataFrame, names: list[str], periods: list[str]) -> DataFrame:
+    """One row: overall_<metric>_<statistic>_<period> and <category>_<metric>_<statistic>_<period>, for bounded lists, in one pass."""
+    s = stats.join(categories.select("alpha", "category"), "alpha", "left").withColumn("category", F.coalesce("category", F.lit("drop")))
+    aggs = []
+    for group in ("overall", *names):
+        for period in periods:
+            here = F.col("period") == period
+            if group != "overall":
+                here = here & (F.col("category") == group)
+            aggs += [f(F.when(here, F.col(m))).alias(f"{group}_{m}_{n}_{period}") for m in REPORTED for n, f in STATISTICS]
+    return s.agg(*aggs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.sources.panel import cross, onward, over_time, so_far, val, whole
+from quillon.sources.panel import onward, over_time, so_far, val, whole, with_stats
 
 
 
@@ -32,41 +32,55 @@ def extrapolated():
     return F.when(F.count(val()).over(whole()) >= 2, F.coalesce(linear(False), F.when(pv.isNull(), line(over_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).when(nv.isNull(), line(back))))
 
 
-def knn(panel: DataFrame, k: int = 5) -> DataFrame:
+def knn(panel: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
     """Missing cells get the mean of the ``k`` nearest bars that have the code, by distance over shared codes; else the column's mean.
 
-    Codes without any value stay empty. Distances are between bars of one group: their number is
-    bars squared, whatever the number of codes, and they are summed map-side.
+    Codes without any value stay empty; equal distances go to the earlier bar. ``digits`` rounds squared
+    distances before they are compared, for agreement with another order of summing. Each series is one
+    array. Distances are summed map-side over the pairs of bars of each: what is shuffled is bars
+    squared for each group and task, whatever the number of codes. The bars of a group, ranked for
+    each bar by distance, are one array a group, joined to its series; a gap takes the first that have the code.
     """
-    codes = panel.where(val().isNotNull()).groupBy("gid").agg(F.countDistinct("code").alias("f"))
-    a, b = panel.where(val().isNotNull()).alias("a"), panel.where(val().isNotNull()).alias("b")
-    d = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.bar") != F.col("b.bar")))
-    d = d.groupBy(F.col("a.gid").alias("gid"), F.col("a.bar").alias("bar"), F.col("b.bar").alias("donor")).agg(F.sum((F.col("a.v") - F.col("b.v")) ** 2).alias("s"), F.count("*").alias("m"))
-    d = d.join(codes, "gid").select("gid", "bar", "donor", F.round(F.col("f") / F.col("m") * F.col("s"), 9).alias("d2"))
-    gaps = panel.where(val().isNull()).select("gid", "code", "bar")
-    have = panel.where(val().isNotNull()).select("gid", "code", F.col("bar").alias("donor"), F.col("v").alias("dv"))
-    near = gaps.join(d, ["gid", "bar"]).join(have, ["gid", "code", "donor"])
-    rank = F.row_number().over(Window.partitionBy("gid", "code", "bar").orderBy("d2", "donor"))
-    got = near.withColumn("k", rank).where(F.col("k") <= k).groupBy("gid", "code", "bar").agg(F.avg("dv").alias("nv"))
-    p = panel.join(got, ["gid", "code", "bar"], "left")
-    return p.select("gid", "code", "bar", F.coalesce(val(), "nv", F.avg(val()).over(whole())).alias("v"))
+    s = panel.groupBy("gid", "code").agg(F.array_sort(F.collect_list(F.struct("bar", "v"))).alias("s"))
+    seen = F.expr("filter(s, e -> e.v IS NOT NULL)")
+    pairs = s.select("gid", seen.alias("s")).where("size(s) > 0")
+    codes = pairs.groupBy("gid").agg(F.count("*").alias("f"))
+    d = pairs.select("gid", "s", F.posexplode("s").alias("i", "a")).select("gid", "a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
+    d = d.groupBy("gid", F.col("a.bar").alias("p"), F.col("b.bar").alias("q")).agg(F.sum((F.col("a.v") - F.col("b.v")) ** 2).alias("s"), F.count("*").alias("m"))
+    d = d.select("gid", F.explode(F.array(F.struct(F.col("p").alias("bar"), F.col("q").alias("donor")), F.struct(F.col("q").alias("bar"), F.col("p").alias("donor")))).alias("x"), "s", "m").select("gid", "x.*", "s", "m")
+    d2 = F.col("f") / F.col("m") * F.col("s")
+    d = d.join(codes.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g")).select("gid", "bar", "donor", (d2 if digits is None else F.round(d2, digits)).alias("d2"))
+    near = d.groupBy("gid", "bar").agg(F.expr("transform(array_sort(collect_list(struct(d2, donor))), e -> e.donor)").alias("donors"))
+    near = near.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("bar", "donors"))).alias("near")).withColumnRenamed("gid", "g")
+    j = s.join(near, F.col("gid") == F.col("g"), "left").withColumn("have", F.map_from_entries(F.expr("transform(filter(s, e -> e.v IS NOT NULL), e -> struct(e.bar, e.v))")))
+    mean = lambda a: f"aggregate({a}, 0D, (t, x) -> t + x, t -> if(size({a}) = 0, NULL, t / size({a})))"
+    donors = f"slice(filter(coalesce(near[e.bar], array()), b -> map_contains_key(have, b)), 1, {k})"
+    filled = f"transform(s, e -> struct(e.bar AS bar, coalesce(e.v, transform(array(transform({donors}, b -> have[b])), a -> {mean('a')})[0], {mean('map_values(have)')}) AS v))"
+    return j.select("gid", "code", F.explode(F.expr(filled)).alias("e")).select("gid", "code", "e.bar", "e.v")
 
 
 FILLS = {
     "none": val,
     "ffill": lambda: F.last(val(), True).over(so_far()),
     "bfill": lambda: F.first(val(), True).over(onward()),
-    "xs_mean": lambda: F.coalesce(val(), F.avg(val()).over(cross())),
-    "xs_median": lambda: F.coalesce(val(), F.percentile(val(), F.lit(0.5)).over(cross())),
     "linear_interp": linear,
     "time_mean": lambda: F.coalesce(val(), F.avg(val()).over(whole())),
     "interp_extrapolate": extrapolated,
+    "interp_zero_ends": lambda: F.when(F.count(val()).over(whole()) >= 2, F.coalesce(linear(False), F.lit(0.0))),
 }
+#: those that need statistics of a bar
+SECTION = {"xs_mean": lambda: F.avg(val()), "xs_median": lambda: F.percentile(val(), F.lit(0.5))}
+
+
+def known(name: str) -> bool:
+    return name in FILLS or name in SECTION or name == "knn"
 
 
 def fill(panel: DataFrame, name: str) -> DataFrame:
     if name == "knn":
         return knn(panel)
+    if name in SECTION:
+        return with_stats(panel, ["gid", "bar"], _mid=SECTION[name]()).select("gid", "code", "bar", F.coalesce(val(), "_mid").alias("v"))
     if name not in FILLS:
         raise ValueError(f"unknown fill: {name}")
     return panel.select("gid", "code", "bar", FILLS[name]().alias("v"))

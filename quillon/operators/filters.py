@@ -1,8 +1,10 @@
 """Signal filters over the bars of each code.
 
-A linear filter is a matrix on the bars of a group, built with numpy on the driver and laid into the
-plan as one weight array a bar. Each series becomes one array by a single shuffle, and the filter is
-a dot product of arrays, so rows are not multiplied by the filter's width.
+A linear filter is a matrix on the bars of a group, built with numpy on the driver: one row of a
+small table for each length of series, holding the weights that are not 0. Each series becomes one
+array by a single shuffle; the table is joined by the length of the series, and the filter is a dot
+product of arrays, so rows are not multiplied by the filter's width, and neither the plan nor the
+generated code grows with it. A full matrix has the square of a series' bars.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from quillon.operators import fills
 from quillon.sources.panel import val
 
 
-
 def series(panel: DataFrame) -> DataFrame:
     """(gid, code, bars, x): the values of each series as one array in bar order."""
     s = F.array_sort(F.collect_list(F.struct("bar", "v")))
@@ -28,15 +29,32 @@ def rows(arrays: DataFrame, y: Column) -> DataFrame:
     return arrays.select("gid", "code", F.explode(F.arrays_zip("bars", y.alias("y"))).alias("e")).select("gid", "code", F.col("e.bars").alias("bar"), F.col("e.y").alias("v"))
 
 
-def dot(kernel: np.ndarray, x: str = "x") -> Column:
-    """The array K x; a bar is NULL if any value that it weighs is."""
-    out = []
-    for row in kernel:
-        used = np.flatnonzero(np.abs(row) > 1e-15)
-        lo, hi = (used[0], used[-1] + 1) if len(used) else (0, 1)
-        w = ", ".join(f"{v!r}D" for v in row[lo:hi].tolist())
-        out.append(f"aggregate(zip_with(slice({x}, {lo + 1}, {hi - lo}), array({w}), (a, b) -> if(b = 0D, 0D, a * b)), 0D, (s, p) -> s + p)")
-    return F.expr(f"array({', '.join(out)})")
+def lengths(arrays: DataFrame, n: int | None = None) -> list[int]:
+    """The lengths of the series; there are as many as there are kinds of groups (one, if groups are full)."""
+    return [n] if n else sorted(r[0] for r in arrays.select(F.size("x").alias("n")).distinct().collect() if r[0] > 0)
+
+
+def with_kernels(arrays: DataFrame, sizes: list[int], make, names: tuple[str, ...]) -> DataFrame:
+    """The series with one column a matrix of ``make(n)``: array<struct<lo, w>>, the weights of each output from its first to its last that is not 0."""
+
+    def packed(kernel):
+        out = []
+        for row in kernel:
+            used = np.flatnonzero(np.abs(row) > 1e-15)
+            lo, hi = (int(used[0]), int(used[-1]) + 1) if len(used) else (0, 1)
+            out.append((lo, row[lo:hi].tolist()))
+        return out
+
+    table = [(n, *(packed(k) for k in make(n))) for n in sizes]
+    kind = "array<struct<lo:int,w:array<double>>>"
+    table = arrays.sparkSession.createDataFrame(table, ", ".join(["_n int", *(f"{x} {kind}" for x in names)]))
+    # a row a length, each of at most the square of the bars: its size does not follow the number of series
+    return arrays.join(F.broadcast(table), F.size("bars") == F.col("_n")).drop("_n")
+
+
+def dot(kernel: str, x: str = "x") -> Column:
+    """The array K x; an output is NULL if any value that it weighs is."""
+    return F.expr(f"transform({kernel}, k -> aggregate(zip_with(slice({x}, k.lo + 1, size(k.w)), k.w, (a, b) -> if(b = 0D, 0D, a * b)), 0D, (s, p) -> s + p))")
 
 
 def _poles(order: int) -> np.ndarray:
@@ -164,46 +182,57 @@ def pair_kernels(n: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def stretched(n: int) -> np.ndarray:
+    """From decimated values, in the first half of the rows, to all bars: value i at bar 2i, straight lines between, the last one held."""
+    out, last = np.zeros((n, n)), (n + 1) // 2 - 1
+    for i in range(n):
+        lo, hi = min(i // 2, last), min((i + 1) // 2, last)
+        out[i, lo] += 0.5
+        out[i, hi] += 0.5
+    return out
+
+
 def impulse_kernel(n: int, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return lfilter(b, a, np.eye(n))
 
 
+#: matrices by name, with their settings and the values that these have by default
 KERNELS = {
-    "savgolfilt": savgol_kernel,
-    "lowpfilt": lambda n: impulse_kernel(n, *butterworth(5, (0.02,), "low")),
-    "highpfilt": lambda n: impulse_kernel(n, *butterworth(5, (0.02,), "high")),
-    "bandpfilt": lambda n: impulse_kernel(n, *butterworth(5, (0.02, 0.1), "band")),
-    "butter_hpf": lambda n: filtfilt(*butterworth(2, (0.2,), "high"), np.eye(n)),
-    "ewma": ewma_kernel,
-    "kalfilt": kalman_kernel,
-    "hpfilt": hp_kernel,
+    "savgolfilt": lambda n, window=5, order=2: savgol_kernel(n, window, order),
+    "lowpfilt": lambda n, cutoff=0.02, order=5: impulse_kernel(n, *butterworth(order, (cutoff,), "low")),
+    "highpfilt": lambda n, cutoff=0.02, order=5: impulse_kernel(n, *butterworth(order, (cutoff,), "high")),
+    "bandpfilt": lambda n, low=0.02, high=0.1, order=5: impulse_kernel(n, *butterworth(order, (low, high), "band")),
+    "butter_hpf": lambda n, cutoff=0.2, order=2: filtfilt(*butterworth(order, (cutoff,), "high"), np.eye(n)),
+    "ewma": lambda n, span=10: ewma_kernel(n, span),
+    "ewma_half": lambda n, alpha=0.5: ewma_kernel(n, 2 / alpha - 1),
+    "kalfilt": lambda n, q=0.01, r=0.1: kalman_kernel(n, q, r),
+    "hpfilt": lambda n, lam=1600: hp_kernel(n, lam),
     "dwt_ca_fver": lambda n: haar_kernels(n)[0],
     "dwt_da_fver": lambda n: haar_kernels(n)[1],
     "dwt_ca": lambda n: pair_kernels(n)[0],
     "dwt_da": lambda n: pair_kernels(n)[1],
+    "dwt_ca_full": lambda n: stretched(n) @ pair_kernels(n)[0],
+    "dwt_da_full": lambda n: stretched(n) @ pair_kernels(n)[1],
 }
 #: interpolated first, with gaps restored after
 INTERPOLATED = frozenset({"butter_hpf", "hpfilt"})
+#: interpolated first, with gaps left filled
+FILLED = frozenset({"ewma_half"})
 #: any gap empties the series
-WHOLE_SERIES = frozenset({"dwt_ca_fver", "dwt_da_fver", "dwt_ca", "dwt_da"})
+WHOLE_SERIES = frozenset({"dwt_ca_fver", "dwt_da_fver", "dwt_ca", "dwt_da", "dwt_ca_full", "dwt_da_full"})
 
 
-def group_bars(panel: DataFrame) -> int:
-    """Bars of a group; groups of one panel are equally long."""
-    return int(panel.agg(F.max("bar")).first()[0]) + 1
-
-
-def linear(panel: DataFrame, name: str, n: int | None = None) -> DataFrame:
-    n = n or group_bars(panel)
-    base = fills.fill(panel, "interp_extrapolate") if name in INTERPOLATED else panel
-    k = KERNELS[name](n)
-    y = dot(k)
-    gap = F.expr("exists(x, e -> e IS NULL)")
+def linear(panel: DataFrame, name: str, n: int | None = None, **settings) -> DataFrame:
+    """A linear filter by name, with settings of its own (span, order, cutoff, lam and so on)."""
+    base = fills.fill(panel, "interp_extrapolate") if name in INTERPOLATED | FILLED else panel
+    s = series(base)
+    s = with_kernels(s, lengths(s, n), lambda m: (KERNELS[name](m, **settings),), ("kernel",))
+    y = dot("kernel")
     if name in WHOLE_SERIES:
-        y = F.when(~gap, y).otherwise(F.expr(f"transform(sequence(1, {n}), i -> cast(NULL AS double))"))
+        y = F.when(F.expr("exists(x, e -> e IS NULL)"), F.expr("transform(x, e -> cast(NULL AS double))")).otherwise(y)
     if name in ("dwt_ca", "dwt_da"):
-        y = F.transform(y, lambda v, i: F.when(i < (n + 1) // 2, v))
-    out = rows(series(base), y)
+        y = F.transform(y, lambda v, i: F.when(i < F.floor((F.size("x") + 1) / 2), v))
+    out = rows(s, y)
     if name in INTERPOLATED:
         was = panel.select("gid", "code", "bar", val().isNull().alias("gap"))
         out = out.join(was, ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(~F.col("gap"), val()).alias("v"))
@@ -211,9 +240,8 @@ def linear(panel: DataFrame, name: str, n: int | None = None) -> DataFrame:
 
 
 def fourier(panel: DataFrame, what: str, n: int | None = None) -> DataFrame:
-    n = n or group_bars(panel)
-    re, im = (dot(k) for k in fourier_kernels(n))
-    s = series(panel).select("gid", "code", "bars", re.alias("re"), im.alias("im"))
+    s = series(panel)
+    s = with_kernels(s, lengths(s, n), fourier_kernels, ("k_re", "k_im")).select("gid", "code", "bars", dot("k_re").alias("re"), dot("k_im").alias("im"))
     y = {
         "fft_r": F.col("re"),
         "fft_amp": F.zip_with("re", "im", lambda a, b: F.sqrt(a * a + b * b)),
@@ -222,6 +250,24 @@ def fourier(panel: DataFrame, what: str, n: int | None = None) -> DataFrame:
     return rows(s, y)
 
 
+def median_patch(panel: DataFrame, size: int = 5) -> DataFrame:
+    """Medians of patches of ``size`` bars by ``size`` codes (in code order), zeros beyond the edges; a gap in the patch gives NULL.
+
+    Each bar is one array of its codes' values; the arrays of ``size`` bars come together by a shift of rows, without a window over a group.
+    """
+    h = size // 2
+    bars = panel.groupBy("gid", "bar").agg(F.array_sort(F.collect_list(F.struct("code", "v"))).alias("s"))
+    near = bars.select("gid", F.explode(F.sequence(F.col("bar") - h, F.col("bar") + h)).alias("at"), F.col("bar").alias("of"), F.expr("transform(s, e -> e.v)").alias("x"))
+    near = near.groupBy("gid", "at").agg(F.collect_list("x").alias("rows"), F.max(F.when(F.col("of") == F.col("at"), True)).alias("here")).where("here")
+    j = bars.join(near.select(F.col("gid").alias("g"), "at", "rows"), (F.col("gid") == F.col("g")) & (F.col("bar") == F.col("at")))
+    frame = f"flatten(transform(rows, r -> slice(r, greatest(i - {h - 1}, 1), least(i + {h + 1}, size(r)) - greatest(i - {h - 1}, 1) + 1)))"
+    cells = size * size
+    middle = f"""transform(array({frame}), f -> if(exists(f, e -> e IS NULL), NULL,
+        try_element_at(array_sort(concat(f, array_repeat(0D, {cells} - size(f)))), {cells // 2 + 1})))[0]"""
+    y = F.expr(f"transform(s, (e, i) -> named_struct('code', e.code, 'v', {middle}))")
+    return j.select("gid", "bar", F.explode(y).alias("e")).select("gid", F.col("e.code").alias("code"), "bar", F.col("e.v").alias("v"))
+
+
 def median_filter(panel: DataFrame, size: int = 5) -> DataFrame:
     """Running medians of each series, zeros beyond its ends; a gap in the window gives NULL."""
     h = size // 2
@@ -308,14 +354,53 @@ def wavelet_kernels(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def wavelet_denoise(panel: DataFrame, n: int | None = None) -> DataFrame:
     """One wavelet level, details soft-thresholded by their deviation pooled over the group; gaps restored."""
-    n = n or group_bars(panel)
-    ra, cd, rd = wavelet_kernels(n)
-    s = series(fills.fill(panel, "interp_extrapolate")).select("gid", "code", "bars", dot(ra).alias("a"), dot(cd).alias("d"))
-    pooled = s.select("gid", F.explode("d").alias("e")).groupBy("gid").agg((F.stddev_pop("e") * float(np.sqrt(2 * np.log(n)))).alias("thr"))
+    s = series(fills.fill(panel, "interp_extrapolate"))
+    s = with_kernels(s, lengths(s, n), wavelet_kernels, ("k_a", "k_d", "k_r")).select("gid", "code", "bars", dot("k_a").alias("a"), dot("k_d").alias("d"), "k_r")
+    pooled = s.select("gid", F.size("bars").alias("n"), F.explode("d").alias("e")).groupBy("gid").agg((F.stddev_pop("e") * F.sqrt(2 * F.ln(F.max("n")))).alias("thr"))
     s = s.join(pooled, "gid", "left").withColumn("d", F.expr("transform(d, e -> signum(e) * greatest(abs(e) - thr, 0D))"))
-    out = rows(s.withColumn("r", dot(rd, "d")), F.zip_with("a", "r", lambda p, q: p + q))
+    out = rows(s.withColumn("r", dot("k_r", "d")), F.zip_with("a", "r", lambda p, q: p + q))
     return out.join(panel.select("gid", "code", "bar", F.col("v").alias("was")), ["gid", "code", "bar"]).select("gid", "code", "bar", F.when(F.col("was").isNotNull(), val()).alias("v"))
 
 
-FILTERS = {k: (lambda p, k=k: linear(p, k)) for k in KERNELS} | {k: (lambda p, k=k: fourier(p, k)) for k in ("fft_amp", "fft_angle", "fft_r")}
-FILTERS |= {"medfilt": median_filter, "rob_zsfilt": robust_z, "rollrankfilt": rolling_rank, "kauama": adaptive, "mesama": lambda p: adaptive(p, True), "hb_insphase": hilbert_phase, "wdfilt": wavelet_denoise}
+FILTERS = {k: (lambda p, k=k, **settings: linear(p, k, **settings)) for k in KERNELS} | {k: (lambda p, k=k: fourier(p, k)) for k in ("fft_amp", "fft_angle", "fft_r")}
+FILTERS |= {"medfilt": median_filter, "medfilt_patch": median_patch, "rob_zsfilt": robust_z, "rollrankfilt": rolling_rank, "kauama": adaptive, "hb_insphase": hilbert_phase, "wdfilt": wavelet_denoise}
+FILTERS |= {"mesama": lambda p, fast=2, slow=10: adaptive(p, True, fast, slow)}
+#: settings of each filter in the order in which f(a, b) gives them; fixed values
+SETTINGS = {
+    "savgolfilt": ("window", "order"), "lowpfilt": ("cutoff", "order"), "highpfilt": ("cutoff", "order"), "bandpfilt": ("low", "high", "order"), "butter_hpf": ("cutoff", "order"),
+    "ewma": ("span",), "ewma_half": ("alpha",), "kalfilt": ("q", "r"), "hpfilt": ("lam",), "medfilt": ("size",), "medfilt_patch": ("size",), "rob_zsfilt": ("limit",), "rollrankfilt": ("size",),
+    "kauama": ("fast", "slow"), "mesama": ("fast", "slow"),
+}
+#: filter and setting names of configurations; fixed values
+CONFIGURED = {
+    "savgol_filter": ("savgolfilt", {"window_length": "window", "polyorder": "order"}), "median_filter": ("medfilt", {"size": "size"}),
+    "lowpass_filter": ("lowpfilt", {"cutoff": "cutoff", "order": "order"}), "highpass_filter": ("highpfilt", {"cutoff": "cutoff", "order": "order"}),
+    "bandpass_filter": ("bandpfilt", {"lowcut": "low", "highcut": "high", "order": "order"}), "butter_highpass_filter": ("butter_hpf", {"cutoff": "cutoff", "order": "order"}),
+    "ewma_filter": ("ewma", {"span": "span"}), "kalman_filter": ("kalfilt", {"transition_covariance": "q", "observation_covariance": "r"}), "hp_filter": ("hpfilt", {"lamb": "lam"}),
+    "robust_zscore_filter": ("rob_zsfilt", {"threshold": "limit"}), "rolling_rank_filter": ("rollrankfilt", {"window": "size"}),
+    "kaufman_adaptive_moving_average": ("kauama", {"fast_period": "fast", "slow_period": "slow"}), "mesa_adaptive_moving_average": ("mesama", {"fast_period": "fast", "slow_period": "slow"}),
+}
+
+
+def configured(filters: dict) -> dict[str, dict]:
+    """Settings by filter, from a configuration's section of filters.
+
+    Cut-off frequencies are divided by half the sampling rate (fs). Settings that no filter here has (wavelet, level, mode) are left out.
+    """
+    out = {}
+    for given, values in filters.items():
+        if given in CONFIGURED:
+            name, keys = CONFIGURED[given]
+            half = values.get("fs", 2) / 2
+            out[name] = {ours: values[key] / half if ours in ("cutoff", "low", "high") else values[key] for key, ours in keys.items() if key in values}
+    return out
+
+
+def apply(panel: DataFrame, name: str, *args, **settings) -> DataFrame:
+    """A filter by name, with settings in their order or by their names."""
+    if name not in FILTERS:
+        raise ValueError(f"unknown filter: {name}")
+    known = SETTINGS.get(name, ())
+    if len(args) > len(known) or set(settings) - set(known):
+        raise ValueError(f"{name} has the settings {known}")
+    return FILTERS[name](panel, **(settings | dict(zip(known, args, strict=False))))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.operators import fills
-from quillon.operators.level1 import repaired
-from quillon.sources.panel import cross, group, over_time, val
+from quillon.operators.level1 import infinite, repaired_by
+from quillon.sources.panel import over_time, val, whole, with_stats
+
 
 def _m():
     return F.count(val())
@@ -37,22 +37,51 @@ def quantile(percent: float):
     return F.percentile(val(), F.lit(percent / 100))
 
 
-def aggregate(panel: DataFrame, names: list[str]) -> DataFrame:
-    return panel.groupBy("gid", "code").agg(*(AGGREGATES[n]().alias(n) for n in names))
+def has_infinite(panel: DataFrame) -> bool:
+    return not panel.where(infinite(val())).isEmpty()
+
+
+def aggregate(panel: DataFrame, names: list[str], repair: bool = True) -> DataFrame:
+    """(gid, code, one column an aggregate); ±inf in the input is repaired across codes at each bar, and in the results across the group's codes.
+
+    ``repair`` False is for panels that are known to have no infinities.
+    """
+    f = repaired_by(panel.select("gid", "code", "bar", "v"), ["gid", "bar"]) if repair else panel
+    out = f.groupBy("gid", "code").agg(*(AGGREGATES[n]().alias(n) for n in names))
+    if not repair:
+        return out
+    finite = {n: F.when(~infinite(F.col(n)) & ~F.isnan(n), F.col(n)) for n in names}
+    stats = {f"_{k}_{n}": g(finite[n]) for n in names for k, g in (("most", F.max), ("least", F.min))}
+    inf = float("inf")
+    fixed = lambda n: F.when(F.col(n) == inf, F.col(f"_most_{n}")).when(F.col(n) == -inf, F.col(f"_least_{n}")).otherwise(finite[n]).alias(n)
+    return with_stats(out, ["gid"], **stats).select("gid", "code", *(fixed(n) for n in names))
+
 
+def apply(panel: DataFrame, name: str, *args) -> DataFrame:
+    """(gid, code, v), ±inf in the input repaired across codes at each bar and in the result across the group's codes.
 
-def apply(panel: DataFrame, name: str) -> DataFrame:
-    """(gid, code, v), ±inf in the input repaired across codes at each bar and in the result across the group's codes."""
-    f = panel.select("gid", "code", "bar", repaired(val(), cross()).alias("v"))
-    out = autocorrelation(f) if name.startswith("acf") else cv_adjusted(f) if name == "cv_adjusted" else f.groupBy("gid", "code").agg(AGGREGATES[name]().alias("v"))
-    return out.select("gid", "code", repaired(val(), group()).alias("v"))
+    quantile takes its percentage, acf its lag.
+    """
+    if name.startswith("acf"):
+        made = lambda f: autocorrelation(f, int(args[0]) if args else 1)
+    elif name == "cv_adjusted":
+        made = cv_adjusted
+    elif name == "quantile":
+        made = lambda f: f.groupBy("gid", "code").agg(quantile(float(args[0])).alias("v"))
+    else:
+        made = lambda f: f.groupBy("gid", "code").agg(AGGREGATES[name]().alias("v"))
+    if not has_infinite(panel):
+        return made(panel).select("gid", "code", "v")
+    out = made(repaired_by(panel.select("gid", "code", "bar", "v"), ["gid", "bar"]))
+    return repaired_by(out.select("gid", "code", "v"), ["gid"]).select("gid", "code", "v")
 
 
 def cv_adjusted(panel: DataFrame) -> DataFrame:
     """Deviation over mean, with means within 1e-4 of 0 replaced by the group's tenth percentile of the others' sizes."""
     s = panel.groupBy("gid", "code").agg(F.avg(val()).alias("m"), F.stddev_pop(val()).alias("s"))
     far = F.when(F.abs("m") >= 1e-4, F.abs("m"))
-    eps = F.coalesce(F.percentile(far, F.lit(0.1)).over(group()), F.lit(1e-4))
+    s = with_stats(s, ["gid"], _eps=F.percentile(far, F.lit(0.1)))
+    eps = F.coalesce("_eps", F.lit(1e-4))
     m = F.when(F.abs("m") < 1e-4, F.signum("m") * eps + eps).otherwise(F.col("m"))
     return s.select("gid", "code", F.try_divide("s", m).alias("v"))
 
@@ -60,5 +89,5 @@ def cv_adjusted(panel: DataFrame) -> DataFrame:
 def autocorrelation(panel: DataFrame, lag: int = 1) -> DataFrame:
     """Mean product of deviations ``lag`` bars apart over the variance, gaps between values interpolated."""
     p = panel.select("gid", "code", "bar", fills.linear(False).alias("v"))
-    p = p.withColumn("d", val() - F.avg(val()).over(Window.partitionBy("gid", "code"))).withColumn("l", F.lag("d", lag).over(over_time()))
+    p = p.withColumn("d", val() - F.avg(val()).over(whole())).withColumn("l", F.lag("d", lag).over(over_time()))
     return p.groupBy("gid", "code").agg(F.try_divide(F.avg(F.col("d") * F.col("l")), F.avg(F.col("d") * F.col("d"))).alias("v"))

@@ -17,7 +17,7 @@ ROLLING = frozenset(level1.ROLLING)
 
 
 def known(name: str) -> bool:
-    return name in level1.ELEMENTWISE or name in level1.CROSS_SECTION or name in level1.CHANGE or name in level1.EXPANDING or name in level1.REVERSAL or name in filters.FILTERS or name in level2.AGGREGATES or name in fills.FILLS
+    return level1.known(name) or name in filters.FILTERS or name in level2.AGGREGATES or name in ("cv_adjusted", "acf", "quantile") or fills.known(name)
 
 
 def parse(text: str) -> tuple[str, tuple[float, ...]]:
@@ -50,29 +50,34 @@ def tuples(names: list[str], longest: int = 3):
         yield from permutations(names, k)
 
 
-def step(panel: DataFrame, text: str) -> DataFrame:
+def step(panel: DataFrame, text: str, settings: dict[str, dict] | None = None) -> DataFrame:
+    """One transform: name, name_5 or name(5, 2), all arguments used; ``settings`` by name apply where the text has none."""
     name, args = parse(text)
-    return level1.apply(panel, name, int(args[0]) if args else 5)
+    return level1.apply(panel, name, *args, **({} if args else (settings or {}).get(name, {})))
 
 
-def search(panel: DataFrame, names: list[str], aggregates: list[str], longest: int = 2, fill: str = "none") -> DataFrame:
+def search(panel: DataFrame, names: list[str], aggregates: list[str], longest: int = 2, fill: str = "none", settings: dict[str, dict] | None = None) -> DataFrame:
     """(fill, l1, l2, gid, code, v) of every tuple and aggregate.
 
-    Tuples are walked as a trie: a prefix is one DataFrame that all its continuations share, written
-    once to the checkpoint folder where it has any, and all aggregates of a node are one groupBy.
+    Tuples are walked as a trie: a prefix that has continuations is written once to the checkpoint
+    folder, and its aggregates and continuations read it there. All aggregates of a node are one
+    groupBy, with the repair of infinities that ``Spec.build`` makes, if there are any to repair.
     """
     from quillon.plans.checkpoints import cut
 
-    out, level = None, {(): fills.fill(panel, fill)}
+    base = fills.fill(panel, fill)
+    # transforms repair what they make themselves, so infinities can only come from the input
+    repair = level2.has_infinite(base)
+    out, level = None, {(): cut(base) if longest else base}
     for depth in range(1, longest + 1):
         deeper = {}
-        for prefix, base in level.items():
-            base = cut(base) if prefix else base
+        for prefix, at in level.items():
             for n in names:
                 if n not in prefix:
-                    deeper[(*prefix, n)] = step(base, n)
+                    p = step(at, n, settings)
+                    deeper[(*prefix, n)] = cut(p) if depth < longest else p
         for t, p in deeper.items():
-            wide = level2.aggregate(p, aggregates).select("gid", "code", F.lit(fill).alias("fill"), F.lit(">".join(t)).alias("l1"), *(F.col(a).cast("double") for a in aggregates))
+            wide = level2.aggregate(p, aggregates, repair).select("gid", "code", F.lit(fill).alias("fill"), F.lit(">".join(t)).alias("l1"), *(F.col(a).cast("double") for a in aggregates))
             f = wide.unpivot(["fill", "l1", "gid", "code"], aggregates, "l2", "v")
             out = f if out is None else out.unionByName(f)
         level = deeper
@@ -81,7 +86,7 @@ def search(panel: DataFrame, names: list[str], aggregates: list[str], longest: i
 
 @dataclass(frozen=True)
 class Spec:
-    """A factor that can be made again: emitted as a JSON row instead of source text."""
+    """A factor that can be made again: emitted as a JSON row instead of source text. ``params`` holds the settings of its filters by name."""
 
     name: str
     fill: str
@@ -101,6 +106,7 @@ class Spec:
     def build(self, panel: DataFrame) -> DataFrame:
         p = fills.fill(panel, self.fill)
         for n in self.l1:
-            p = step(p, n)
-        f = level2.apply(p, self.l2)
+            p = step(p, n, self.params)
+        name, args = parse(self.l2)
+        f = level2.apply(p, name, *args)
         return f.select("gid", "code", (F.col("v") * self.direction).alias("v"))

@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder; only where none is set (as in tests), in one of our own."""
-    sc = df.sparkSession.sparkContext
+def _set_folder(spark) -> None:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillon-plans-"))
+
+
+def folder(spark, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    _set_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's folder; where none is set, in one of our own in local mode, else an error."""
+    _set_folder(df.sparkSession)
     return df.checkpoint()

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from quillon.operators import classify, compose, evaluate, fills, filters, groups, level1, level2
 from quillon.plans import chain, experiment
+from quillon.plans.checkpoints import folder
+from quillon.sources import files
 from quillon.sources import panel as P
 from quillon.streaming import bars as streaming
 
@@ -88,6 +90,11 @@ for _n, _s in {
     "expandmax": "CASE WHEN v IS NOT NULL THEN max(v) OVER ex END", "expandmin": "CASE WHEN v IS NOT NULL THEN min(v) OVER ex END",
     "expandzscore": "(v - sum(coalesce(v, 0)) OVER ex / row_number() OVER w) / CASE WHEN row_number() OVER w > 1 THEN nullif(stddev_samp(coalesce(v, 0)) OVER ex, 0) END",
     "expandskew": "CASE WHEN count(v) OVER ex >= 3 THEN skewness(v) OVER ex END", "expandkurt": "CASE WHEN count(v) OVER ex >= 4 THEN kurtosis(v) OVER ex END",
+    "rollskew_whole": "CASE WHEN count(v) OVER r5 = 5 THEN skewness(v) OVER r5 END", "rollkurt_whole": "CASE WHEN count(v) OVER r5 = 5 THEN kurtosis(v) OVER r5 END",
+    "aroonosc_masked": "CASE WHEN row_number() OVER w >= 5 AND count(v) OVER r5 > 0 THEN (-(max(CASE WHEN v IS NOT NULL THEN {'a': v, 'b': -bar} END) OVER r5).b - (min(CASE WHEN v IS NOT NULL THEN {'a': v, 'b': bar} END) OVER r5).b) * 100.0 / 5 END",
+    "rollskew_plain": "CASE WHEN count(v) OVER r5 >= 3 THEN CASE WHEN max(v) OVER r5 = min(v) OVER r5 THEN 0 ELSE skewness(v) OVER r5 * (count(v) OVER r5 - 2) / sqrt((count(v) OVER r5) * (count(v) OVER r5 - 1)) * pow((count(v) OVER r5 - 1) / (count(v) OVER r5), 1.5) END END",
+    "rollkurt_plain": "CASE WHEN count(v) OVER r5 >= 4 THEN CASE WHEN max(v) OVER r5 = min(v) OVER r5 THEN 0 ELSE (kurtosis_pop(v) OVER r5 + 3) * pow((count(v) OVER r5 - 1) / (count(v) OVER r5), 2) - 3 END END",
+    "bin_right": "CASE WHEN count(*) OVER wc > count(v) OVER wc THEN v WHEN max(v) OVER wc = min(v) OVER wc THEN 0.0 ELSE least(ceil((v - min(v) OVER wc) / (max(v) OVER wc - min(v) OVER wc) * 10), 10) END",
     "bin": "CASE WHEN count(*) OVER wc > count(v) OVER wc THEN v WHEN max(v) OVER wc = min(v) OVER wc THEN 10.0 ELSE least(floor((v - min(v) OVER wc) / (max(v) OVER wc - min(v) OVER wc) * 10) + 1, 10) END",
 }.items():
     transform(_n, _s, digits=5 if "kurt" in _n or "skew" in _n else 6)
@@ -111,8 +118,13 @@ def _planted(s, d):
     return P.event_panel(s, d).select("gid", "code", "bar", v.alias("v"))
 
 
-for _n, _w, _sw in (("time", P.whole, "wc"), ("section", P.cross, "wx")):
-    add(f"inf_repair_{_n}", lambda s, d, w=_w: rounded(_planted(s, d).withColumn("v", level1.repaired(F.col("v"), w()))), f"WITH {EVENTS}{_PLANTED}, o AS (SELECT gid, code, bar, {REPAIR.replace('wc', _sw)} AS v FROM pf {WINDOWS}) {out('gid code bar')} FROM o")
+_repairs = {"time": (lambda p: p.withColumn("v", level1.repaired(F.col("v"), P.whole())), "wc"), "section": (lambda p: level1.repaired_by(p, ["gid", "bar"]), "wx")}
+for _n, (_w, _sw) in _repairs.items():
+    add(f"inf_repair_{_n}", lambda s, d, w=_w: rounded(w(_planted(s, d)).select("gid", "code", "bar", "v")), f"WITH {EVENTS}{_PLANTED}, o AS (SELECT gid, code, bar, {REPAIR.replace('wc', _sw)} AS v FROM pf {WINDOWS}) {out('gid code bar')} FROM o")
+
+# the older repair leaves a series of one usable value alone; its infinities are shown as such
+add("inf_repair_older", lambda s, d: rounded(level1.filled_inf(_planted(s, d).where("bar < 10 OR code % 3 > 0").where("code % 7 > 0 OR bar BETWEEN 5 AND 6"))), f"""WITH {EVENTS}{_PLANTED.replace('FROM pl)', 'FROM pl WHERE (bar < 10 OR code % 3 > 0) AND (code % 7 > 0 OR bar BETWEEN 5 AND 6))')},
+ o AS (SELECT gid, code, bar, CASE WHEN count(f) OVER wc > 1 THEN {REPAIR} ELSE x END AS v FROM pf {WINDOWS}) {out('gid code bar')} FROM o""")
 
 # fills
 _NEAR = ", n AS (SELECT *, last_value(v IGNORE NULLS) OVER ex AS pv, last_value(CASE WHEN v IS NOT NULL THEN bar END IGNORE NULLS) OVER ex AS pb, first_value(v IGNORE NULLS) OVER on_ AS nv, first_value(CASE WHEN v IS NOT NULL THEN bar END IGNORE NULLS) OVER on_ AS nb, count(v) OVER wc AS c, nth_value(v, 1 IGNORE NULLS) OVER al AS f1, nth_value(v, 2 IGNORE NULLS) OVER al AS f2, nth_value(CASE WHEN v IS NOT NULL THEN bar END, 1 IGNORE NULLS) OVER al AS b1, nth_value(CASE WHEN v IS NOT NULL THEN bar END, 2 IGNORE NULLS) OVER al AS b2, nth_value(v, 1 IGNORE NULLS) OVER bk AS g1, nth_value(v, 2 IGNORE NULLS) OVER bk AS g2, nth_value(CASE WHEN v IS NOT NULL THEN bar END, 1 IGNORE NULLS) OVER bk AS h1, nth_value(CASE WHEN v IS NOT NULL THEN bar END, 2 IGNORE NULLS) OVER bk AS h2 FROM p " + WINDOWS + ")"
@@ -121,6 +133,7 @@ _EXTRA = f"CASE WHEN c >= 2 THEN coalesce(v, {_INNER}, CASE WHEN pv IS NULL THEN
 for _n, _s, _st in (
     ("none", "v", "p"), ("ffill", "last_value(v IGNORE NULLS) OVER ex", "p"), ("bfill", "first_value(v IGNORE NULLS) OVER on_", "p"), ("xs_mean", "coalesce(v, avg(v) OVER wx)", "p"), ("xs_median", "coalesce(v, quantile_cont(v, 0.5) OVER wx)", "p"),
     ("time_mean", "coalesce(v, avg(v) OVER wc)", "p"), ("linear_interp", f"coalesce(v, {_INNER}, pv, nv)", "n"), ("interp_extrapolate", _EXTRA, "n"),
+    ("interp_zero_ends", f"CASE WHEN c >= 2 THEN coalesce(v, {_INNER}, 0) END", "n"),
 ):
     add(f"fill_{_n}" if not _n.startswith("interp") else _n, lambda s, d, n=_n: rounded(fills.fill(P.event_panel(s, d), n)), f"WITH {EVENTS}{_NEAR if _st == 'n' else ''}, o AS (SELECT gid, code, bar, {_s} AS v FROM {_st} {WINDOWS if _st == 'p' else ''}) {out('gid code bar')} FROM o")
 _KNN = """, f AS (SELECT gid, count(DISTINCT code) AS f FROM p WHERE v IS NOT NULL GROUP BY 1),
@@ -128,7 +141,7 @@ _KNN = """, f AS (SELECT gid, count(DISTINCT code) AS f FROM p WHERE v IS NOT NU
  nn AS (SELECT m.gid, m.code, m.bar, h.v AS dv, row_number() OVER (PARTITION BY m.gid, m.code, m.bar ORDER BY d2, donor) AS k FROM p m JOIN dd ON dd.gid = m.gid AND dd.bar = m.bar JOIN p h ON h.gid = m.gid AND h.code = m.code AND h.bar = dd.donor WHERE m.v IS NULL AND h.v IS NOT NULL),
  kn AS (SELECT gid, code, bar, avg(dv) AS nv FROM nn WHERE k <= 5 GROUP BY 1, 2, 3),
  o AS (SELECT p.gid, p.code, p.bar, coalesce(p.v, nv, avg(p.v) OVER (PARTITION BY p.gid, p.code)) AS v FROM p LEFT JOIN kn USING (gid, code, bar))"""
-add("fill_knn", lambda s, d: rounded(fills.fill(P.event_panel(s, d), "knn")), f"WITH {EVENTS}{_KNN} {out('gid code bar')} FROM o")
+add("fill_knn", lambda s, d: rounded(fills.knn(P.event_panel(s, d), digits=9)), f"WITH {EVENTS}{_KNN} {out('gid code bar')} FROM o")
 
 
 def _fill_stats(s, d):
@@ -143,21 +156,42 @@ add("fill_corr_stats", _fill_stats, f"""WITH {EVENTS}, f AS (SELECT gid, code, b
 
 
 def _fill_select(s, d):
-    p = P.event_panel(s, d).cache()
+    p = P.event_panel(s, d)
     one = lambda n: fills.correlation_stats(fills.fill(p, n), p).select(F.lit(n).alias("fill"), F.round("mean_corr", 6).alias("mean_corr"), F.round("std_corr", 6).alias("std_corr"), "n", F.lit(120).alias("total"), F.round("mean_diff", 6).alias("mean_diff"))
     return fills.robust(one("none").unionByName(one("ffill")).unionByName(one("bfill")).unionByName(one("xs_mean"))).select("fill", F.col("n").cast("long").alias("n"))
 
 
-add("fill_select", _fill_select)
+_FILLS4 = {"none": "v", "ffill": "last_value(v IGNORE NULLS) OVER ex", "bfill": "first_value(v IGNORE NULLS) OVER on_", "xs_mean": "coalesce(v, avg(v) OVER wx)"}
+_EACH = ", ".join(f"f_{_n} AS (SELECT gid, bar, {_s} AS x, v AS y FROM p {WINDOWS}), c_{_n} AS (SELECT gid, bar, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS c, avg(abs(x - y)) AS d FROM f_{_n} WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2)" for _n, _s in _FILLS4.items())
+_STATS4 = " UNION ALL ".join(f"SELECT '{_n}' AS fill, round(avg(c), 6) AS mc, round(stddev_samp(c), 6) AS sc, count(*) AS n, round(avg(d), 6) AS md FROM c_{_n} WHERE c IS NOT NULL" for _n in _FILLS4)
+add("fill_select", _fill_select, f"WITH {EVENTS}, {_EACH}, s AS ({_STATS4}) SELECT fill, n FROM (SELECT * FROM s WHERE mc >= 0.9 AND coalesce(sc, 0) <= 0.1 AND n / 120 >= 0.8 ORDER BY mc DESC, sc, md, fill LIMIT 3)")
 
 # filters
-for _n in filters.KERNELS:
-    _k = filters.KERNELS[_n](40)
-    _i, _j = np.nonzero(np.abs(_k) > 1e-15)
-    _sql = f"kern AS (SELECT unnest({_i.tolist()}) AS k, unnest({_j.tolist()}) AS j, unnest({[float(x) for x in _k[_i, _j]]}::DOUBLE[]) AS w)"
-    _half = "WHERE k < 20" if _n in ("dwt_ca", "dwt_da") else ""
-    add(f"f_{_n}", lambda s, d, n=_n: rounded(filters.linear(filled(s, d), n, 40)), f"""WITH {FILLED}, {_sql}, y AS (SELECT gid, code, k AS bar, CASE WHEN count(v) = count(*) THEN sum(w * v) END AS v FROM q JOIN kern ON j = bar {_half} GROUP BY ALL),
+def kernel(name: str, k) -> str:
+    """A matrix as a table (k, j, w)."""
+    i, j = np.nonzero(np.abs(k) > 1e-15)
+    return f"{name} AS (SELECT unnest({i.tolist()}) AS k, unnest({j.tolist()}) AS j, unnest({[float(x) for x in k[i, j]]}::DOUBLE[]) AS w)"
+
+
+def linear(name: str, query, k, rows: str = "") -> None:
+    add(name, query, f"""WITH {FILLED}, {kernel('kern', k)}, y AS (SELECT gid, code, k AS bar, CASE WHEN count(v) = count(*) THEN sum(w * v) END AS v FROM q JOIN kern ON j = bar {rows} GROUP BY ALL),
  o AS (SELECT q.gid, q.code, q.bar, y.v FROM q LEFT JOIN y USING (gid, code, bar)) {out('gid code bar')} FROM o""")
+
+
+for _n in filters.KERNELS:
+    linear(f"f_{_n}", lambda s, d, n=_n: rounded(filters.linear(filled(s, d), n, 40)), filters.KERNELS[_n](40), "WHERE k < 20" if _n in ("dwt_ca", "dwt_da") else "")
+# settings: from a configuration's section, and as arguments in a name
+_SET = filters.configured({
+    "ewma_filter": {"span": 4}, "savgol_filter": {"window_length": 7, "polyorder": 3}, "hp_filter": {"lamb": 50}, "kalman_filter": {"transition_covariance": 0.2, "observation_covariance": 0.5},
+    "lowpass_filter": {"cutoff": 0.1, "fs": 1, "order": 2}, "bandpass_filter": {"lowcut": 0.05, "highcut": 0.2, "fs": 1, "order": 3},
+})
+for _n, _settings in _SET.items():
+    linear(f"f_set_{_n}", lambda s, d, n=_n, x=_settings: rounded(level1.apply(filled(s, d), n, **x)), filters.KERNELS[_n](40, **_settings))
+linear("f_args_savgolfilt", lambda s, d: rounded(chain.step(filled(s, d), "savgolfilt(9, 3)")), filters.KERNELS["savgolfilt"](40, 9, 3))
+linear("f_args_ewma", lambda s, d: rounded(chain.step(filled(s, d), "ewma_6")), filters.KERNELS["ewma"](40, 6))
+add("f_medfilt_patch", lambda s, d: rounded(filters.median_patch(filled(s, d))), f"""WITH {FILLED}, r AS (SELECT *, dense_rank() OVER (PARTITION BY gid ORDER BY code) AS c FROM q),
+ l AS (SELECT a.gid, a.code, a.bar, list(b.v) AS l FROM r a JOIN r b ON a.gid = b.gid AND b.c BETWEEN a.c - 2 AND a.c + 2 AND b.bar BETWEEN a.bar - 2 AND a.bar + 2 GROUP BY 1, 2, 3),
+ o AS (SELECT gid, code, bar, list_sort(list_concat(l, list_transform(range(25 - len(l)), lambda e: 0.0)))[13] AS v FROM l) {out('gid code bar')} FROM o""")
 _FFT = FILLED + """, ks AS (SELECT k FROM range(40) r(k)), z AS (SELECT gid, code, k AS bar, any_value(CASE WHEN k > 0 AND k < 39 THEN 2.0 ELSE 1.0 END) / 40 AS s, sum(v * cos(2 * pi() * k * bar / 40)) AS re, -sum(v * sin(2 * pi() * k * bar / 40)) AS im FROM q, ks GROUP BY 1, 2, 3)"""
 for _n, _s in {"fft_r": "s * re", "fft_amp": "s * sqrt(re * re + im * im)"}.items():
     add(f"f_{_n}", lambda s, d, n=_n: rounded(filters.fourier(filled(s, d), n, 40)), f"WITH {_FFT}, o AS (SELECT gid, code, bar, {_s} AS v FROM z) {out('gid code bar')} FROM o")
@@ -175,7 +209,11 @@ _KAMA = FILLED.replace("WITH ", "") + f""", l AS (SELECT gid, code, bar, v, lag(
  k AS (SELECT gid, code, bar, v AS y, v AS z FROM al WHERE bar = 0 UNION ALL SELECT a.gid, a.code, a.bar, k.y + a.a * (a.v - k.y), k.z + 0.5 * (k.y + a.a * (a.v - k.y) - k.z) FROM k JOIN al a ON a.gid = k.gid AND a.code = k.code AND a.bar = k.bar + 1)"""
 for _n, _m, _s in (("kauama", False, "y"), ("mesama", True, "y - z")):
     add(f"f_{_n}", lambda s, d, m=_m: rounded(filters.adaptive(filled(s, d), m)), f"WITH RECURSIVE {_KAMA}, o AS (SELECT gid, code, bar, {_s} AS v FROM k) {out('gid code bar')} FROM o")
-add("f_wavelet_denoise", lambda s, d: rounded(filters.wavelet_denoise(filled(s, d), 40)))
+_RA, _CD, _RD = filters.wavelet_kernels(40)
+add("f_wavelet_denoise", lambda s, d: rounded(filters.wavelet_denoise(filled(s, d), 40)), f"""WITH {FILLED}, {kernel('ka', _RA)}, {kernel('kd', _CD)}, {kernel('kr', _RD)},
+ a AS (SELECT gid, code, k AS bar, sum(w * v) AS a FROM q JOIN ka ON j = bar GROUP BY ALL), e AS (SELECT gid, code, k, sum(w * v) AS e FROM q JOIN kd ON j = bar GROUP BY ALL),
+ t AS (SELECT gid, stddev_pop(e) * sqrt(2 * ln(40)) AS t FROM e GROUP BY 1), h AS (SELECT gid, code, e.k AS c, sign(e) * greatest(abs(e) - t, 0) AS e FROM e JOIN t USING (gid)),
+ r AS (SELECT gid, code, k AS bar, sum(w * e) AS r FROM h JOIN kr ON j = c GROUP BY ALL), o AS (SELECT gid, code, bar, a + coalesce(r, 0) AS v FROM a LEFT JOIN r USING (gid, code, bar)) {out('gid code bar')} FROM o""")
 add("f_hilbert_phase", lambda s, d: rounded(filters.hilbert_phase(filled(s, d))))
 
 # level 2
@@ -204,6 +242,8 @@ for _n, _f, _s in (
     ("group_half_day", lambda p: groups.half_day(p, 4), "SELECT t // 4 AS gid, code, t % 4 AS bar, v FROM flat WHERE t % 4 < 2"),
     ("group_rolling_days", lambda p: groups.rolling_days(p, 4, 3), "SELECT g AS gid, code, (t // 4 - g + 2) * 4 + t % 4 AS bar, v FROM flat, range(2, 30) r(g) WHERE t // 4 BETWEEN g - 2 AND g"),
     ("group_rolling_days_half", lambda p: groups.rolling_days(p, 4, 3, True), "SELECT g AS gid, code, (t // 4 - g + 2) * 4 + t % 4 AS bar, v FROM flat, range(2, 30) r(g) WHERE t // 4 BETWEEN g - 2 AND g AND (t // 4 - g + 2) * 4 + t % 4 < 10"),
+    ("group_table_b3_d1", lambda p: experiment.regrouped(p, "6_b3_d1", 4), "SELECT g + 1 AS gid, code, (t // 4 - g + 2) * 4 + t % 4 AS bar, v FROM flat, range(2, 30) r(g) WHERE t // 4 BETWEEN g - 2 AND g"),
+    ("group_table_d2", lambda p: experiment.regrouped(p, "6_d2", 4), "SELECT t // 4 + 2 AS gid, code, t % 4 AS bar, v FROM flat"),
     ("group_rows_tumbling", lambda p: groups.rows_tumbling(p, 7), "SELECT t // 7 AS gid, code, t % 7 AS bar, v FROM flat"),
     ("group_rows_sliding", lambda p: groups.rows_sliding(p, 7), "SELECT g AS gid, code, t - g AS bar, v FROM flat, range(0, 114) r(g) WHERE t BETWEEN g AND g + 6"),
 ):
@@ -224,19 +264,42 @@ add("drop_empty", lambda s, d: rounded(groups.drop_empty(_holed(s, d))), f"WITH
 _SEARCH = ["abs_v", "diff", "rollmean_3"]
 
 
-def _search(s, d):
-    f = chain.search(P.revenue_panel(s, d), _SEARCH, ["mean", "ptp"], 2, "ffill")
+_one = {"abs_v": "abs(v)", "diff": "v - lag(v) OVER w"}
+for _k in (3, 6):
+    _one[f"rollmean_{_k}"] = "CASE WHEN count(v) OVER ({0}) = {1} THEN avg(v) OVER ({0}) END".format(f"PARTITION BY gid, code ORDER BY bar ROWS BETWEEN {_k - 1} PRECEDING AND CURRENT ROW", _k)
+
+
+def searched(names: list[str], longest: int, fill: str) -> str:
+    """SQL of every tuple with the aggregates mean and ptp."""
+    parts, first = [], {"ffill": "last_value(v IGNORE NULLS) OVER (PARTITION BY gid, code ORDER BY bar ROWS UNBOUNDED PRECEDING)", "none": "v"}[fill]
+    for t in chain.tuples(names, longest):
+        q = f"SELECT gid, code, bar, {first} AS v FROM p"
+        for x in t:
+            q = f"SELECT gid, code, bar, {_one[x]} AS v FROM ({q}) WINDOW w AS (PARTITION BY gid, code ORDER BY bar)"
+        parts += [f"SELECT '{fill}' AS fill, '{'>'.join(t)}' AS l1, '{a}' AS l2, gid, code, {e} AS v FROM ({q}) GROUP BY gid, code" for a, e in (("mean", "avg(v)"), ("ptp", "max(v) - min(v)"))]
+    return f"WITH {REVENUE}, o AS ({' UNION ALL '.join(parts)}) SELECT fill, l1, l2, gid::BIGINT AS gid, code::BIGINT AS code, round(v, 6) + 0.0 AS v FROM o"
+
+
+def _found(f):
     return f.select("fill", "l1", "l2", F.col("gid").cast("long").alias("gid"), F.col("code").cast("long").alias("code"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-_one = {"abs_v": "abs(v)", "diff": "v - lag(v) OVER w", "rollmean_3": "CASE WHEN count(v) OVER (PARTITION BY gid, code ORDER BY bar ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 THEN avg(v) OVER (PARTITION BY gid, code ORDER BY bar ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END"}
-_parts = []
-for _t in chain.tuples(_SEARCH, 2):
-    _q = "SELECT gid, code, bar, last_value(v IGNORE NULLS) OVER (PARTITION BY gid, code ORDER BY bar ROWS UNBOUNDED PRECEDING) AS v FROM p"
-    for _x in _t:
-        _q = f"SELECT gid, code, bar, {_one[_x]} AS v FROM ({_q}) WINDOW w AS (PARTITION BY gid, code ORDER BY bar)"
-    _parts += [f"SELECT 'ffill' AS fill, '{'>'.join(_t)}' AS l1, '{_a}' AS l2, gid, code, {_e} AS v FROM ({_q}) GROUP BY gid, code" for _a, _e in (("mean", "avg(v)"), ("ptp", "max(v) - min(v)"))]
-add("chain_search", _search, f"WITH {REVENUE}, o AS ({' UNION ALL '.join(_parts)}) SELECT fill, l1, l2, gid::BIGINT AS gid, code::BIGINT AS code, round(v, 6) + 0.0 AS v FROM o")
+add("chain_search", lambda s, d: _found(chain.search(P.revenue_panel(s, d), _SEARCH, ["mean", "ptp"], 2, "ffill")), searched(_SEARCH, 2, "ffill"))
+# tuples of three, with windows by the length of a group: three and six bars of twelve
+_EXPANDED = chain.expanded(["abs_v", "rollmean"], 12)
+add("chain_search_3", lambda s, d: _found(chain.search(P.revenue_panel(s, d), chain.expanded(["abs_v", "rollmean"], 12), ["mean", "ptp"], 3, "ffill")), searched(_EXPANDED, 3, "ffill"))
+
+
+def _stored_factors(s, d):
+    """Written by how they were made, and only those of one fill read again, without the rejected ones."""
+    path = folder(s, "factors")
+    f = chain.search(P.revenue_panel(s, d), _SEARCH, ["mean", "ptp"], 1, "ffill").unionByName(chain.search(P.revenue_panel(s, d), _SEARCH, ["mean"], 1, "none"))
+    P.write_factors(f, path)
+    rejected = s.createDataFrame([("ffill", "diff", "ptp")], "fill string, l1 string, l2 string")
+    return _found(P.drop_rejected(P.read_factors(s, path, fill="ffill"), rejected))
+
+
+add("factors_stored", _stored_factors, searched(_SEARCH, 1, "ffill") + " WHERE l1 <> 'diff' OR l2 <> 'ptp'")
 
 
 def factor(s, d):
@@ -261,6 +324,8 @@ _ic_cols = lambda df: df.select(F.col("gid").cast("long").alias("gid"), F.col("n
 _IC_OUT = "SELECT gid::BIGINT AS gid, n, round(ic, 6) AS ic, round(rank_ic, 6) AS rank_ic, round(coverage, 6) AS coverage FROM ic"
 add("ic_daily", lambda s, d: _ic_cols(evaluate.ic_daily(factor(s, d), returns(s, d))), f"WITH {_ICS} {_IC_OUT}")
 add("ic_coverage", lambda s, d: _ic_cols(evaluate.ic_daily(factor(s, d), returns(s, d), True)), f"WITH {_ICS.replace('FROM j0)', 'FROM (SELECT gid, r AS r1, CASE WHEN r IS NOT NULL THEN f END AS f, CASE WHEN f IS NOT NULL THEN r END AS r FROM j0))').replace('r AS r0', 'r1 AS r0')} {_IC_OUT}")
+add("ic_gated", lambda s, d: evaluate.gated(evaluate.ic_daily(factor(s, d), returns(s, d)), 0.6).select(F.round("coverage", 6).alias("coverage"), F.round("rank_ic", 6).alias("rank_ic"), "passed", "expression"), f"""WITH {_ICS}, m AS (SELECT avg(coverage) AS c, avg(rank_ic) AS r FROM ic)
+ SELECT round(c, 6) AS coverage, CASE WHEN c > 0.6 THEN round(r, 6) END AS rank_ic, c > 0.6 AND abs(r) > 0.015 AS passed, CASE WHEN c <= 0.6 THEN 'low cover' WHEN abs(r) <= 0.015 THEN 'low ic' WHEN r < 0 THEN '-1*alpha' ELSE 'alpha' END AS expression FROM m""")
 add("ic_summary", lambda s, d: evaluate.ic_summary(evaluate.ic_daily(factor(s, d), returns(s, d))).select(*(F.round(c, 6).alias(c) for c in ("ic", "rank_ic", "coverage")), "passed", "direction"), f"WITH {_ICS} SELECT round(avg(ic), 6) AS ic, round(avg(rank_ic), 6) AS rank_ic, round(avg(coverage), 6) AS coverage, abs(avg(ic)) > 0.015 AND abs(avg(rank_ic)) > 0.015 AS passed, sign(avg(ic))::BIGINT AS direction FROM ic")
 
 
@@ -275,11 +340,21 @@ add("factor_corr", lambda s, d: evaluate.factor_corr(_factors(s, d)).select("a",
 
 
 def _greedy(s, d):
-    f = _factors(s, d).cache()
-    r = returns(s, d).cache()
-    edges = [(e["a"], e["b"]) for e in evaluate.factor_corr(f).where("abs(corr) > 0.7").collect()]
-    scores = {n: evaluate.ic_summary(evaluate.ic_daily(f.where(F.col("name") == n), r)).first()["ic"] for n in ("mean", "stddev", "ptp", "median", "quantile_75", "skew")}
-    return s.createDataFrame([(i, n) for i, n in enumerate(evaluate.select_greedy(scores, edges))], "position long, name string")
+    f, r = _factors(s, d), returns(s, d)
+    scores = experiment.ic_by_name(f, r).select("name", F.round("rank_ic", 9).alias("score"))
+    return evaluate.greedy(scores, evaluate.factor_corr(f, 0.7)).select("name")
+
+
+_GREEDY = f"""WITH RECURSIVE {_IC.replace('WITH ', '')}, wd AS (SELECT gid, code, avg(v) AS mean, stddev_pop(v) AS stddev, max(v) - min(v) AS ptp, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS quantile_75, {_POP} AS skew FROM p GROUP BY 1, 2),
+ l AS (UNPIVOT wd ON mean, stddev, ptp, median, quantile_75, skew INTO NAME name VALUE v),
+ cr AS (SELECT x.name AS a, y.name AS b FROM l x JOIN l y ON x.gid = y.gid AND x.code = y.code AND x.name <> y.name GROUP BY 1, 2 HAVING abs(covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0)) > 0.7),
+ jr AS (SELECT name, gid, code, v AS f, r FROM l JOIN re USING (gid, code)),
+ jk AS (SELECT name, gid, f, r, rank() OVER (PARTITION BY name, gid ORDER BY f NULLS LAST) + (count(f) OVER (PARTITION BY name, gid, f) - 1) / 2 AS fk, rank() OVER (PARTITION BY name, gid ORDER BY r NULLS LAST) + (count(r) OVER (PARTITION BY name, gid, r) - 1) / 2 AS rk FROM jr),
+ dy AS (SELECT name, gid, covar_pop(fk, rk) / nullif(stddev_pop(fk) * stddev_pop(rk), 0) AS c FROM jk WHERE f IS NOT NULL AND r IS NOT NULL GROUP BY 1, 2),
+ sc AS (SELECT name, abs(round(avg(c), 9)) / (any_value(coalesce(g.n, 0)) + 3) AS k FROM dy LEFT JOIN (SELECT a, count(*) AS n FROM cr GROUP BY 1) g ON g.a = dy.name GROUP BY name),
+ od AS (SELECT name, row_number() OVER (ORDER BY k DESC, name) AS i FROM sc),
+ st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL SELECT od.i, CASE WHEN len(list_intersect(st.kept, coalesce((SELECT list(b) FROM cr WHERE a = od.name), []::VARCHAR[]))) = 0 THEN list_append(st.kept, od.name) ELSE st.kept END FROM st JOIN od ON od.i = st.i + 1)
+ SELECT unnest(kept) AS name FROM st WHERE i = (SELECT max(i) FROM od)"""
 
 
 def _enb(s, d):
@@ -288,11 +363,11 @@ def _enb(s, d):
     return s.createDataFrame([(i, n) for i, n in enumerate(evaluate.select_enb(*evaluate.pnl_matrix(pnl), 6))], "position long, name string")
 
 
-add("select_greedy", _greedy)
+add("select_greedy", _greedy, _GREEDY)
 add("select_enb", _enb)
 
 # strategy statistics by brand and year
-_STATS = """SELECT p_brand AS alpha, year(l_shipdate)::VARCHAR AS period, sum(l_extendedprice * l_discount) / 1e5 AS ret, sum(l_extendedprice * l_tax) / 1e5 AS ret_l, corr(l_quantity, l_discount) AS "IC", avg(l_discount) / nullif(stddev_samp(l_discount), 0) AS "ICIR", avg(l_quantity) AS tvr, avg(l_extendedprice) / stddev_samp(l_extendedprice) AS sharpe, (max(l_tax) - min(l_tax)) * 100 AS dd, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS pwin, count(*)::DOUBLE AS "long", CASE WHEN p_brand LIKE '%5' THEN '1996-01-01' ELSE '1995/01/01' END AS "from" FROM lineitem JOIN part ON l_partkey = p_partkey"""
+_STATS = """SELECT p_brand AS alpha, year(l_shipdate)::VARCHAR AS period, sum(l_extendedprice * l_discount) / 1e5 AS ret, sum(l_extendedprice * l_tax) / 1e5 AS ret_l, sum(l_extendedprice * (l_discount - l_tax)) / 1e5 AS ret_s, corr(l_quantity, l_discount) AS "IC", avg(l_discount) / nullif(stddev_samp(l_discount), 0) AS "ICIR", avg(l_quantity) AS tvr, avg(l_extendedprice) / stddev_samp(l_extendedprice) AS sharpe, (max(l_tax) - min(l_tax)) * 100 AS dd, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS pwin, count(*)::DOUBLE AS "long", CASE WHEN p_brand LIKE '%5' THEN '1996-01-01' ELSE '1995/01/01' END AS "from" FROM lineitem JOIN part ON l_partkey = p_partkey"""
 _STATS_SQL = f"stats AS ({_STATS} GROUP BY 1, 2), total AS ({_STATS.replace('year(l_shipdate)::VARCHAR', chr(39) + 'Total' + chr(39))} GROUP BY 1, 2)"
 
 
@@ -301,7 +376,7 @@ def stats(s, d, total=False):
     j = li.join(P.table(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("alpha", F.col("p_brand")).withColumn("period", F.lit("Total") if total else F.year("l_shipdate").cast("string"))
     disc = F.col("l_discount")
     return j.groupBy("alpha", "period").agg(
-        (F.sum(F.col("l_extendedprice") * disc) / 1e5).alias("ret"), (F.sum(F.col("l_extendedprice") * F.col("l_tax")) / 1e5).alias("ret_l"), evaluate.safe_corr("l_quantity", "l_discount").alias("IC"), F.try_divide(F.avg(disc), F.stddev_samp(disc)).alias("ICIR"),
+        (F.sum(F.col("l_extendedprice") * disc) / 1e5).alias("ret"), (F.sum(F.col("l_extendedprice") * F.col("l_tax")) / 1e5).alias("ret_l"), (F.sum(F.col("l_extendedprice") * (disc - F.col("l_tax"))) / 1e5).alias("ret_s"), evaluate.safe_corr("l_quantity", "l_discount").alias("IC"), F.try_divide(F.avg(disc), F.stddev_samp(disc)).alias("ICIR"),
         F.avg("l_quantity").alias("tvr"), F.try_divide(F.avg("l_extendedprice"), F.stddev_samp("l_extendedprice")).alias("sharpe"), ((F.max("l_tax") - F.min("l_tax")) * 100).alias("dd"), F.avg(F.when(disc > 0.05, 1.0).otherwise(0.0)).alias("pwin"), F.count("*").cast("double").alias("long"),
     ).withColumn("from", F.when(F.col("alpha").endswith("5"), "1996-01-01").otherwise("1995/01/01"))
 
@@ -348,6 +423,64 @@ _YEARS = ["1996", "1997", "1998"]
 add("stats_pivot", lambda s, d: (lambda x: x.select("category", *(F.round(y, 5).alias(f"ret_{y}") for y in _YEARS)))(classify.pivoted(stats(s, d).join(_categories(s, d).select("alpha", "category"), "alpha"), _YEARS)), f"WITH {_CATS} SELECT category, {', '.join(f'round(avg(s.ret) FILTER (s.period = {chr(39)}{y}{chr(39)}), 5) AS ret_{y}' for y in _YEARS)} FROM stats s JOIN cat USING (alpha) GROUP BY category")
 
 
+_CATEGORIES = ["all_pass", "low_tvr", "drop"]
+_each = lambda g, y: [(f"{g}_{m}_{n}_{y}", m, f, f"s.period = '{y}'" + ("" if g == "overall" else f" AND category = '{g}'")) for m in classify.REPORTED for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))]
+_wide = [x for g in ("overall", *_CATEGORIES) for y in _YEARS for x in _each(g, y)]
+add("stats_wide", lambda s, d: (lambda x: x.select(*(F.round(c, 5).alias(c) for c in x.columns)))(classify.wide_report(stats(s, d), _categories(s, d), _CATEGORIES, _YEARS)), f"WITH {_CATS} SELECT " + ", ".join(f'round({f}(s."{m}") FILTER ({w}), 5) AS "{c}"' for c, m, f, w in _wide) + " FROM stats s JOIN cat USING (alpha)")
+add("cls_checks", lambda s, d: stats(s, d, True).select("alpha", *(c.alias(n) for n, c in classify.checks(LIMITS).items())), f"""WITH {_STATS_SQL} SELECT alpha, CASE WHEN "IC" >= {_T.ic} THEN 1 WHEN "IC" <= -{_T.ic} THEN -1 ELSE 0 END AS ic, CASE WHEN tvr > {_T.tvr_max} THEN -1 WHEN tvr < {_T.tvr_min} THEN 1 ELSE 0 END AS tvr,
+ CASE WHEN "long" >= {_T.cover} THEN 1 WHEN "long" < {_T.cover} THEN -1 ELSE 0 END AS cover, coalesce(ret >= {_T.ret}, false) AS ret, coalesce(ret_l >= {_T.ret_l}, false) AS ret_l, coalesce("ICIR" >= {_T.icir}, false) AS icir, coalesce(sharpe >= {_T.sharpe}, false) AS sharpe, coalesce(pwin >= {_T.win}, false) AS win, coalesce(dd <= {_T.dd}, false) AS dd FROM total""")
+_CODE = "concat(p_brand, ': tvr_max=0.6, tvr_min  = 0.15 # was tvr_max = ', p_size)"
+add("cls_patch", lambda s, d: P.table(s, d, "part").select("p_partkey", classify.patched(F.expr(_CODE), LIMITS).alias("text")), f"SELECT p_partkey, regexp_replace(regexp_replace({_CODE}, 'tvr_max\\s*=\\s*[\\d.]+', 'tvr_max = {_T.tvr_max * 0.9:.3f}', 'g'), 'tvr_min\\s*=\\s*[\\d.]+', 'tvr_min = {_T.tvr_min * 1.1:.3f}', 'g') AS text FROM part".replace("\\\\", "\\"))
+
+
+def _csv(second: bool):
+    """Statistics written as CSV files, one a strategy with Total as its last row, and where they are."""
+
+    def write(s, d):
+        path = folder(s, "stats")
+        rows = stats(s, d).unionByName(stats(s, d, True)).select("alpha", F.lit("a").alias("x"), F.lit("b").alias("y"), *([F.lit(0).alias("_c0")] if second else []), "period", *classify.METRICS)
+        rows.repartition("alpha").sortWithinPartitions("alpha", "x", "y", "period").write.partitionBy("alpha", "x", "y").option("header", True).csv(path)
+        return f"{path}/*/*/*"
+
+    return write
+
+
+def _read(s, path, **how):
+    r = P.read_stats(s, path, **how)
+    return r.select(F.url_decode(F.regexp_replace("alpha", "^alpha=", "")).alias("alpha"), "period", *(F.round(c, 5).alias(c) for c in classify.METRICS))
+
+
+_CSV_SQL = f"WITH {_STATS_SQL} SELECT alpha, period, " + ", ".join(f'round("{m}", 5) AS "{m}"' for m in classify.METRICS)
+add("csv_total", lambda s, d: _read(s, _csv(False)(s, d), total=True), f"{_CSV_SQL} FROM total")
+add("csv_yearly", lambda s, d: _read(s, _csv(False)(s, d), total=False), f"{_CSV_SQL} FROM stats")
+add("csv_without_last", lambda s, d: _read(s, _csv(False)(s, d), exclude_last=True), f"{_CSV_SQL} FROM stats")
+add("csv_second_index", lambda s, d: _read(s, _csv(True)(s, d)), f"{_CSV_SQL} FROM stats UNION ALL SELECT alpha, period, " + ", ".join(f'round("{m}", 5) AS "{m}"' for m in classify.METRICS) + " FROM total")
+
+
+def _slice(s, d):
+    """A panel made and stored if it is not there, and the part of it between two times, without codes that are empty in it."""
+    path = folder(s, "panel")
+    make = lambda: _flat(s, d).where("code % 5 > 0 OR t > 60").select("code", F.col("t").alias("ts"), "v")
+    files.materialised(s, path, make)
+    files.materialised(s, path, lambda: 1 / 0)
+    return rounded(files.read_slice(s, path, "10", "30").select("code", "ts", "v"))
+
+
+add("panel_slice", _slice, f"WITH {EVENTS}, x AS (SELECT code, t AS ts, v FROM flat WHERE (code % 5 > 0 OR t > 60) AND t BETWEEN 10 AND 30), o AS (SELECT * FROM x WHERE code IN (SELECT code FROM x WHERE v IS NOT NULL)) {out('code ts')} FROM o")
+add("artefact_upsert", lambda s, d: P.upsert(P.table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("content")), P.table(s, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("new")).otherwise(F.col("n_nationkey").cast("string")).alias("content")).unionByName(P.table(s, d, "region").select(F.concat(F.lit("r"), "r_name").alias("name"), F.lit("region").alias("content")))), "SELECT n_name AS name, CASE WHEN n_nationkey % 6 = 0 THEN 'new' ELSE n_nationkey::VARCHAR END AS content FROM nation UNION ALL SELECT concat('r', r_name), 'region' FROM region")
+
+
+def _names(s, d):
+    texts = ["aroonosc_6", "quantile_25", "quantile_40", "savgolfilt(7, 3)", "f(2,3)", "abs_v", "rollmean_12"]
+    tables = ["30_b10_d1", "30_b10", "30_d1", "5"]
+    show = lambda x: ",".join("" if y is None else str(y) for y in x)
+    rows = [(t, chain.parse(t)[0], show(chain.parse(t)[1])) for t in texts] + [(t, "table", show(chain.parse_table(t).values())) for t in tables]
+    return s.createDataFrame(rows, "text string, name string, args string")
+
+
+add("names_parsed", _names, "SELECT * FROM (VALUES ('aroonosc_6', 'aroonosc', '6'), ('quantile_25', 'quantile_25', ''), ('quantile_40', 'quantile', '40'), ('savgolfilt(7, 3)', 'savgolfilt', '7,3'), ('f(2,3)', 'f', '2,3'), ('abs_v', 'abs_v', ''), ('rollmean_12', 'rollmean', '12'), ('30_b10_d1', 'table', '30,10,1'), ('30_b10', 'table', '30,10,'), ('30_d1', 'table', '30,,1'), ('5', 'table', '5,,')) t(text, name, args)")
+
+
 # composition: panels by day and bar
 def _pair(s, d):
     e = P.table(s, d, "events").select(F.col("user_id").cast("long").alias("code"), F.datediff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("day"), F.floor(F.hour("ts") / 6).cast("long").alias("bar"), "value", "event_type")
@@ -404,3 +537,14 @@ def _experiment(s, d):
 
 
 add("experiment", _experiment)
+
+
+def _tables(s, d):
+    """Windows drawn at random from two parts of a range, over lookbacks and delays."""
+    x = experiment.Experiment(("none",), ("abs_v", "rollmean"), ("mean", "ptp"), 1, 0.0, 0.95).drawn({"rollmean": (2, 4)}, 2, 5)
+    flat = P.revenue_panel(s, d).select("code", ((F.col("gid") - 1995) * 12 + F.col("bar")).alias("t"), "v")
+    r = returns(s, d).withColumn("gid", F.col("gid") - 1995)
+    return experiment.run_tables(flat, r, x, 30, 12, (0, 2), (0, 1)).select("table", "name", F.round("ic", 6).alias("ic"), "direction")
+
+
+add("experiment_tables", _tables)

@@ -249,3 +249,92 @@ def test_files(spark, tmp_path):
     assert files.markdown(small).endswith("| x\\|y | 1.5 |  |") and files.html(small).startswith("<table><tr><th>a</th>")
     with pytest.raises(ValueError):
         files.markdown(p, 2)
+
+
+def test_filter_settings(spark):
+    from quillon.plans import experiment
+
+    x = np.random.default_rng(6).normal(size=20)
+    p = panel(spark, x)
+    close(column(chain.step(p, "ewma(3)")), filters.ewma_kernel(20, 3) @ x)
+    close(column(chain.step(p, "savgolfilt(7, 3)")), filters.savgol_kernel(20, 7, 3) @ x)
+    close(column(chain.step(p, "ewma", {"ewma": {"span": 5}})), filters.ewma_kernel(20, 5) @ x)
+    for bad in ("ewma(1, 2)", "abs_v(1)", "rollmean(1, 2)"):
+        with pytest.raises(ValueError):
+            chain.step(p, bad)
+    e = experiment.Experiment.read({"function_settings": {"level1": ["ewma", "lowpfilt"]}, "filter_params": {"level1": {"filters": {"ewma_filter": {"span": 4}, "lowpass_filter": {"cutoff": 0.1, "fs": 1, "order": 2}, "dwt_ca": {"wavelet": "db1"}}}}})
+    assert e.settings == {"ewma": {"span": 4}, "lowpfilt": {"cutoff": 0.2, "order": 2}}
+    s = chain.Spec("x", "none", ("ewma",), "mean", 1, e.settings)
+    assert chain.Spec.read(s.json()).build(p).first()["v"] == pytest.approx((filters.ewma_kernel(20, 4) @ x).mean())
+    # series of unequal lengths have matrices of their own
+    q = p.unionByName(panel(spark, x[:7]).withColumn("gid", F.lit(9).cast("long")))
+    close([r["v"] for r in level1.apply(q, "kalfilt").where("gid = 9").orderBy("bar").collect()], filters.kalman_kernel(7) @ x[:7])
+
+
+def test_greedy_selection_in_tables(spark):
+    rng = np.random.default_rng(7)
+    names = [f"n{i:02d}" for i in range(40)]
+    for _ in range(3):
+        scores = {n: float(round(rng.normal(), 1)) for n in names}
+        edges = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.08]
+        s, e = spark.createDataFrame(list(scores.items()), "name string, score double"), spark.createDataFrame(edges, "a string, b string")
+        assert {r["name"] for r in evaluate.greedy(s, e).collect()} == set(evaluate.select_greedy(scores, edges))
+    assert evaluate.greedy(s.where("false"), e.where("false")).count() == 0
+
+
+def test_correlations_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 9)) + 1e6
+    x[rng.random(x.shape) < 0.3] = np.nan
+    rows = [(f"f{j}", i // 20, i % 20, float(x[i, j])) for i in range(300) for j in range(9) if not np.isnan(x[i, j])]
+    f = spark.createDataFrame(rows, "name string, gid long, code long, v double")
+    for block, part in ((256, 10**6), (3, 200), (2, 10**6)):
+        monkeypatch.setattr(evaluate, "BLOCK", block)
+        monkeypatch.setattr(evaluate, "ROWS", part)
+        got = {(r["a"], r["b"]): (r["corr"], r["n"]) for r in evaluate.factor_corr(f).collect()}
+        assert len(got) == 36
+        for (a, b), (c, n) in got.items():
+            p, q = x[:, int(a[1:])], x[:, int(b[1:])]
+            both = ~np.isnan(p) & ~np.isnan(q)
+            assert n == both.sum() and c == pytest.approx(np.corrcoef(p[both], q[both])[0, 1], abs=1e-6)
+    assert evaluate.factor_corr(f, 0.9).count() == 0 and evaluate.factor_corr(f.where("false")).count() == 0
+
+
+def test_knn_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(14, 6))
+    x[rng.random(x.shape) < 0.35] = np.nan
+    got = fills.knn(panel(spark, *[[None if np.isnan(v) else float(v) for v in x[:, j]] for j in range(6)]), 3)
+    want = x.copy()
+    for i in range(14):
+        for j in range(6):
+            if np.isnan(x[i, j]):
+                d = []
+                for o in range(14):
+                    both = ~np.isnan(x[i]) & ~np.isnan(x[o])
+                    if o != i and both.any() and not np.isnan(x[o, j]):
+                        d.append((6 / both.sum() * ((x[i] - x[o])[both] ** 2).sum(), o))
+                want[i, j] = np.mean([x[o, j] for _, o in sorted(d)[:3]]) if d else np.nanmean(x[:, j])
+    for j in range(6):
+        close(column(got, j), want[:, j])
+
+
+def test_scaling_by_the_quantile(spark):
+    rng = np.random.default_rng(10)
+    for _ in range(25):
+        x = rng.normal(size=int(rng.integers(1, 9))) * rng.choice([0.05, 0.1, 1, 10, 20])
+        q = np.quantile(np.abs(x), 0.85)
+        s = 0.1 if q > 10 else 10.0 if q < 0.1 else 1.0
+        close(column(level1.apply(panel(spark, x), "sinh_scaled")), np.sinh(x * s) / s)
+
+
+def test_thresholds_from_configurations(tmp_path):
+    import json
+
+    c = {**vars(classify.Thresholds()), "out_path": "x"}
+    assert classify.Thresholds.read(c) == classify.Thresholds()
+    (tmp_path / "c.json").write_text(json.dumps(c))
+    assert classify.Thresholds.load(str(tmp_path / "c.json")) == classify.Thresholds()
+    for bad in ({**c, "other": 1}, {k: v for k, v in c.items() if k != "dd"}, {**c, "ic": "high"}, {**c, "tvr_min": 99}):
+        with pytest.raises(ValueError):
+            classify.Thresholds.read(bad)

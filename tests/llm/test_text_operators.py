@@ -100,10 +100,13 @@ def test_license_scan_finds_all_notices_of_a_file():
 
 
 # op2
+KEY = "a key of the tests, long enough"
+
+
 def test_surrogates(spark):
     t = ["call +1 (017) 555-7713, a.b@mail8.example.com a.b@mail8.example.com", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" at 55.63.178.142', "again a.b@mail8.example.com 4111 1111 1111 1111", "Anna Smith met Иван Петров", None, "", "no entity"]
-    out = {r["doc_id"]: r for r in surrogates.surrogates(docs(spark, t)).collect()}
-    e = {r["entity"]: r["surrogate"] for r in surrogates.entity_table(docs(spark, t)).collect()}
+    out = {r["doc_id"]: r for r in surrogates.surrogates(docs(spark, t), KEY).collect()}
+    e = {r["entity"]: r["surrogate"] for r in surrogates.entity_table(docs(spark, t), KEY).collect()}
     assert len(e) == len(set(e.values())) == 7 and all(a != b for a, b in e.items())
     for i, x in enumerate(t):
         want = x
@@ -123,13 +126,13 @@ def test_phones_and_addresses_of_other_forms(spark):
     phones = ["+15551234567", "+33 6 12 34 56 78", "030 1234567", "+49 30 12345678", "06 12 34 56 78", "(030) 1234567", "+44 (20) 7946 0958"]
     ip6 = ["2001:db8::8a2e:370:7334", "2001:0DB8:0000:0000:0000:8A2E:0370:7334", "fe80::1"]
     plain = ["on 01.02.2024 and 03/04/2025", "at 12:30:45", "std::vector a::b", "0.12345678", "10 20 30 40", "+5 10", "page 012"]
-    out = [r["text"] for r in surrogates.surrogates(docs(spark, [f"x {m}, y" for m in phones + ip6] + plain)).orderBy("doc_id").collect()]
+    out = [r["text"] for r in surrogates.surrogates(docs(spark, [f"x {m}, y" for m in phones + ip6] + plain), KEY).orderBy("doc_id").collect()]
     for m, r in zip(phones + ip6, out, strict=False):
         s = r[2:-3]
         assert len(s) == len(m) and s != m and re.sub(r"[0-9a-f]", "0", s) == re.sub(r"[0-9a-f]", "0", m) or m in ip6 and "DB8" in m and re.sub(r"\w", "0", s) == re.sub(r"\w", "0", m)
         assert not any(len(g) > 3 and g in s for g in re.split(r"\D", m)) or m in ip6
     assert out[0].startswith("x +1") and out[1].startswith("x +33 ") and out[3].startswith("x +49 ") and out[len(phones + ip6) :] == plain
-    assert {r["type"] for r in surrogates.entity_table(docs(spark, phones)).collect()} == {"phone"} and surrogates.collisions(docs(spark, phones + ip6)).count() == 0
+    assert {r["type"] for r in surrogates.entity_table(docs(spark, phones), KEY).collect()} == {"phone"} and surrogates.collisions(docs(spark, phones + ip6), KEY).count() == 0
 
 
 def test_letters_of_all_scripts_move(spark):
@@ -141,21 +144,85 @@ def test_letters_of_all_scripts_move(spark):
     names += [chr(x) for x in range(0x430, 0x450)] + [chr(x) for x in range(0x4E00, 0x4E40)]
     t = [f"to {n}@例子.公司 now" for n in names] + ["to 中文@例子.公司 now"]
     d = docs(spark, t)
-    e = {r["entity"]: r["surrogate"] for r in surrogates.entity_table(d).collect()}
-    assert surrogates.collisions(d).count() == 0 and len(set(e.values())) == len(e)
+    e = {r["entity"]: r["surrogate"] for r in surrogates.entity_table(d, KEY).collect()}
+    assert surrogates.collisions(d, KEY).count() == 0 and len(set(e.values())) == len(e)
     first = lambda m: next(i for i, c in enumerate(m) if c.isalpha())
     for m, s in e.items():
         assert len(m) == len(s) and m != s and m[first(m)] != s[first(m)]
         assert all(unicodedata.category(a)[0] == unicodedata.category(b)[0] for a, b in zip(m, s, strict=True))
     assert {len(e.get(f"{n}@例子.公司", "")) for n in names[:14]} == {len(n) + 6 for n in names[:14]}
-    for r in surrogates.surrogates(d).collect():
+    for r in surrogates.surrogates(d, KEY).collect():
         assert "例子.公司" not in r["text"] and r["n_entities"] == 1
 
 
+def replaced(spark, texts, key=KEY, **more):
+    return [r["text"] for r in surrogates.surrogates(docs(spark, texts), key, **more).orderBy("doc_id").collect()]
+
+
+def test_only_numbers_with_a_check_digit_are_cards(spark):
+    right, wrong = ["4111 1111 1111 1111", "5500000000000004", "3782 822463 10005"], ["4111 1111 1111 1112", "1234567890123456"]
+    out = replaced(spark, [f"no {x} so" for x in right + wrong])
+    for x, y in zip(right, out, strict=False):
+        d = [int(c) for c in y if c.isdigit()][::-1]
+        assert (sum(d[::2]) + sum(sum(divmod(2 * k, 10)) for k in d[1::2])) % 10 == 0 and y != f"no {x} so" and re.sub(r"\d", "0", y) == re.sub(r"\d", "0", f"no {x} so")
+    assert out[len(right) :] == [f"no {x} so" for x in wrong]
+    assert {r["n_entities"] for r in surrogates.surrogates(docs(spark, [f"no {x} so" for x in wrong]), KEY).collect()} == {0}
+
+
+def test_reserved_addresses_and_top_level_domains_stay(spark):
+    import ipaddress
+
+    rng = random.Random(4)
+    ips = ["10.0.0.1", "127.0.0.1", "192.168.1.7", "172.16.0.9", "172.31.255.255", "169.254.3.4", "172.15.1.1", "192.167.0.1", "8.8.8.8", "223.1.2.3", "100.64.0.1"]
+    ips += [".".join(str(rng.choice([10, 172, 192, 8, 200, rng.randrange(1, 224)]) if k == 0 else rng.randrange(256)) for k in range(4)) for _ in range(150)]
+    out = [x[1:-1] for x in replaced(spark, [f"({x})" for x in ips])]
+    kind = lambda x: next((n for n in ("10.0.0.0/8", "127.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12", "169.254.0.0/16") if ipaddress.ip_address(x) in ipaddress.ip_network(n)), "")
+    assert all(x != y and kind(x) == kind(y) for x, y in zip(ips, out, strict=True))
+    assert len({*out}) == len({*ips}) and surrogates.collisions(docs(spark, ips), KEY).count() == 0
+    mails = replaced(spark, ["a.b@mail.example.com", "x@uni.ac.uk", "m@firma.de"])
+    assert [m.rsplit(".", 1)[1] for m in mails] == ["com", "uk", "de"] and not any("example" in m or "firma" in m for m in mails)
+
+
+def test_names_by_context_and_alone(spark):
+    t = ["Alice Walker left. Later Alice spoke, and Walker's dog; malice, Alicent stay.", "Alice in wonder", "Mary said Dr. Zhivago and Mrs Dalloway met Emma Poppins.", "Paul And I", "Peter Clark and Clark, then Peter."]
+    lists = {"given_f": ["Alice", "Emma", "Clara", "Eva"], "given_m": ["Peter", "Paul", "Martin", "Adam"], "family": ["Walker", "Fischer", "Baker", "Clark"]}
+    a, b, c, d, e = replaced(spark, t, names=lists)
+    m = re.fullmatch(r"(\w+) (\w+) left. Later (\w+) spoke, and (\w+)'s dog; malice, Alicent stay.", a)
+    assert m[1] == m[3] != "Alice" and m[1] in lists["given_f"] and m[2] == m[4] != "Walker" and m[2] in lists["family"]
+    assert b == t[1] and d == t[3]
+    m = re.fullmatch(r"Mary said Dr. (\w{7}) and Mrs (\w{8}) met (\w+) (\w{7}).", c)
+    assert m[1] != "Zhivago" and m[2] != "Dalloway" and m[3] in lists["given_f"] and m[3] != "Emma" and m[4] != "Poppins" and m[4].istitle()
+    m = re.fullmatch(r"(\w+) (\w+) and (\w+), then (\w+).", e)
+    assert m[1] == m[4] and m[2] == m[3] and m[2] in lists["family"] and m[1] in lists["given_m"]
+    assert surrogates.collisions(docs(spark, t), KEY, lists).count() == 0
+    with pytest.raises(ValueError):
+        surrogates.Patterns({**lists, "family": ["a|b"]})
+    with pytest.raises(ValueError):
+        surrogates.Patterns({**lists, "family": ["Alice", "Clark"]})
+
+
+def test_the_key_decides_and_stands_in_no_plan(spark, capsys):
+    t = ["write to a.b@mail.example.com from 8.8.4.4"]
+    assert replaced(spark, t) == replaced(spark, t) != replaced(spark, t, "another key that is long enough")
+    for bad in ("", "short"):
+        with pytest.raises(ValueError):
+            surrogates.surrogates(docs(spark, t), bad)
+    surrogates.surrogates(docs(spark, t), KEY).explain(True)
+    plan = capsys.readouterr().out
+    assert "sha2" in plan.lower() and not any(k in plan for k in [KEY, *surrogates.subkeys(KEY).values()]) and "Exchange hash" not in plan and "Python" not in plan
+
+
+def test_surrogates_keep_columns_of_any_name(spark):
+    d = docs(spark, ["mail a@b.example.com", "none"]).withColumn("_found", F.lit(1)).withColumn("_KEYS", F.lit(2)).withColumn("n_entities", F.lit("old")).withColumn("_one", F.lit(3))
+    out = surrogates.surrogates(d, KEY)
+    assert out.columns == [c for c in d.columns if c != "n_entities"] + ["n_entities", "entity_types"]
+    assert [(r["_found"], r["_KEYS"], r["_one"], r["n_entities"]) for r in out.orderBy("doc_id").collect()] == [(1, 2, 3, 1), (1, 2, 3, 0)]
+
+
 def test_surrogates_of_real_texts(spark):
     d = real(spark)
-    assert surrogates.collisions(d).count() == 0
-    after = surrogates.surrogates(d)
+    assert surrogates.collisions(d, KEY).count() == 0
+    after = surrogates.surrogates(d, KEY)
     left = d.select("doc_id", F.explode(surrogates.entities()).alias("e")).join(after.select("doc_id", F.col("text").alias("t")), "doc_id").where(F.expr("contains(t, e)"))
     assert left.count() == 0
 

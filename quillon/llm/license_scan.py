@@ -31,6 +31,30 @@ NOTICES = (
     ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
     ("cc0", "dedicated to the public domain under cc0 1 0", ("cc0 1 0",)),
     ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international", ("attribution noncommercial",)),
+    # paragraphs of licence texts and of the notices that they ask for
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("to deal in the software without restriction", "use copy modify merge publish distribute sublicense")),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise", ("warranties of merchantability fitness for a particular purpose and noninfringement",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice")),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("used to endorse or promote products derived from this software",)),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("provided by the copyright holders and contributors as is",)),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("you may not use this file except in compliance with the license",)),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("distributed on an as is basis without warranties or conditions of any kind",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("under the terms of the gnu general public license",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("see the gnu general public license for more details",)),
+    ("gpl-3.0", "published by the free software foundation either version 3 of the license or at your option any later version", ("either version 3 of the license or at your option any later version",)),
+    ("gpl-2.0", "published by the free software foundation either version 2 of the license or at your option any later version", ("either version 2 of the license or at your option any later version",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("under the terms of the gnu lesser general public license",)),
+    ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("subject to the terms of the mozilla public license",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee is hereby granted",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("to alter it and redistribute it freely",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy of the software",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software released into the public domain",)),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
 
@@ -132,7 +156,8 @@ def _scan(index: LicenceIndex):
 def license_scan(docs: DataFrame, index: LicenceIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and notice spans, one row a row.
 
-    Words are runs of ASCII letters and digits or of any other characters above ASCII, with A-Z
+    Whole texts are scanned, however long; repeated rows come out alike; an empty table gives no rows;
+    only doc_id and text are read, whatever other columns there are. Words are runs of ASCII letters and digits or of any other characters above ASCII, with A-Z
     lower-cased. Null texts are empty: no words, no labels, score 0. A base phrase without a whole
     notice scores 0.5; else the score is the best share of a notice's words found in place.
     """

@@ -90,13 +90,29 @@ def test_license_scan_finds_all_notices_of_a_file():
         return sorted(out, key=lambda s: (s[1], s[0], *s[2:]))
 
     filler = "obtaining redistribution hereby granted binary forms modification public domain "
-    texts = [f"{a} x {b}" for a in notices for b in notices] + [filler * 3 + " y ".join(notices), " ".join(notices[4].split()[3:])]
-    for _ in range(3):
-        index = license_scan.LicenceIndex({w.encode(): rng.random() for n in notices for w in n.split()})
-        for t in texts:
-            _, _, labels, score, spans = index.scan(t.encode())
-            want = brute(t)
-            assert spans == want and {s[0] for s in want} <= labels and score >= max((s[3] for s in want), default=0)
+    texts = [f"{a} x {b}" for a in notices[::3] for b in notices[::4]] + [filler * 3 + " y ".join(notices), " ".join(notices[4].split()[3:])]
+    vocabulary = sorted({w for n in notices for w in n.split()})
+    for _ in range(30):  # pieces of notices with words changed, dropped and put in between
+        parts = []
+        for n in rng.sample(notices, 4):
+            w = n.split()
+            lo = rng.randrange(max(1, len(w) // 4))
+            w = [rng.choice(vocabulary) if rng.random() < 0.1 else x for x in w[lo : lo + rng.randint(len(w) // 2, len(w))]]
+            parts += w + rng.choices(vocabulary, k=rng.randint(0, 6))
+        texts.append(" ".join(parts))
+    hits = 0
+    for k, t in enumerate(texts):
+        index = license_scan.LicenceIndex({w.encode(): rng.random() for n in notices for w in n.split()}) if k % 10 == 0 else index
+        n_words, places, labels, score, spans = index.scan(t.encode())
+        want = brute(t)
+        base = [(i, b) for i in range(len(t.split())) for b, (p, _) in enumerate(license_scan.BASE) if t.split()[i : i + len(p.split())] == p.split()]
+        assert spans == want and sorted(places) == base and n_words == len(t.split())
+        assert labels == {s[0] for s in want} | {license_scan.BASE[b][1] for _, b in base}
+        assert score == max([s[3] for s in want] + [0.5] * bool(base), default=0)
+        hits += len(want)
+    assert hits > 300
+    everything = index.scan(" y ".join(notices).encode())[2]
+    assert everything >= {label for label, *_ in license_scan.NOTICES}
 
 
 # op2

@@ -44,7 +44,7 @@ SMALL = 24
 #: rounds of pivots at most, candidates by hash in each, and the share of rows below which a round is the last
 ROUNDS, SAMPLED, WORTH = 12, 6, 0.1
 #: sets in one verification chunk, however small; pairs held before they are verified
-MEMBERS, PAIRS = 20_000, 1_000_000
+MEMBERS, PAIRS = 100_000, 1_000_000
 #: pivots tried within a chunk, and candidates for each
 CORES, TRIED = 8, 16
 

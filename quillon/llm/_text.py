@@ -116,22 +116,38 @@ def word_spans(a: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+def release() -> None:
+    """Gives memory that is free but still held by the allocators back to the system.
+
+    Python workers are reused: without this, each keeps the most that any task before has needed.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches, text: str = "text", limit: int = 1 << 20):
-    """(rows of the batch, list of UTF-8 texts) with about ``limit`` bytes each; null texts are empty."""
+    """(rows of the batch, list of UTF-8 texts) with about ``limit`` bytes each; null texts are empty.
+
+    Only the texts of one slice are Python objects at a time.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        raw = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-        first, size = 0, 0
-        for i, t in enumerate(raw):
-            if t is None:
-                raw[i] = t = b""
-            size += len(t) + 1
-            if size >= limit:
-                yield batch.slice(first, i + 1 - first), raw[first : i + 1]
-                first, size = i + 1, 0
-        if first < len(raw):
-            yield batch.slice(first), raw[first:]
+        raw = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        size = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        first = 0
+        while first < len(raw):
+            end = min(int(np.searchsorted(size, (size[first - 1] if first else 0) + limit)) + 1, len(raw))
+            yield batch.slice(first, end - first), [t or b"" for t in raw.slice(first, end - first).to_pylist()]
+            first = end
+    release()
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import WHITE, byte_codes, joined, mix, segment_hashes, slices, spare_name, stored, unstored, word_spans
+from quillon.llm._text import WHITE, byte_codes, joined, mix, release, segment_hashes, slices, spare_name, stored, unstored, word_spans
 
 _EXACT = byte_codes(False)
 _OTHER = mix(_EXACT + np.uint64(0xABCDEF))
@@ -90,6 +90,8 @@ def _documents(batches):
         held.append(t)
     if held:
         yield pa.concat_tables(held).combine_chunks()
+    del held
+    release()
 
 
 def minimal_runs(new: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import shared_checkpoints
+from quillon.llm._text import release, shared_checkpoints
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: outside these characters, or with a special token's string, a text goes through the tokenizer file itself
@@ -68,6 +68,7 @@ def _tokenised(path, ranks, end_id, width):
                 rows = batch.slice(at, 256)
                 ids = [np.array([*encode(t or ""), end_id], width) for t in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "doc_tokens", "ids"])
+        release()
 
     return run
 

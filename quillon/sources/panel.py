@@ -63,10 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def on_grid(observed: DataFrame, bars: int) -> DataFrame:
-    """(code, t, v) on all ``bars`` bars of each code that has any observation; t from 0."""
+    """(code, t, v) on all ``bars`` bars of each code that has any observation; t from 0.
+
+    The join is by sorting, whatever the sizes: the grid is estimated without its explosion, and a later
+    filter on v makes the join an inner one, of which Spark would then broadcast the whole grid.
+    """
     codes = observed.groupBy("code").agg(F.lit(1).alias("seen"))
     grid = codes.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bars - 1).cast("long"))).alias("t"))
-    return grid.join(observed.where(F.col("v").isNotNull()), ["code", "t"], "left").select("code", "t", clean(F.col("v")).alias("v"))
+    return grid.hint("merge").join(observed.where(F.col("v").isNotNull()), ["code", "t"], "left").select("code", "t", clean(F.col("v")).alias("v"))
 
 
 def event_panel(spark: SparkSession, sf_dir: str, group: int = 40, first: str = "2024-01-01", days: int = 30) -> DataFrame:

@@ -338,3 +338,10 @@ def test_thresholds_from_configurations(tmp_path):
     for bad in ({**c, "other": 1}, {k: v for k, v in c.items() if k != "dd"}, {**c, "ic": "high"}, {**c, "tvr_min": 99}):
         with pytest.raises(ValueError):
             classify.Thresholds.read(bad)
+
+
+def test_grid_is_never_broadcast(spark):
+    seen = spark.createDataFrame([(1, 0, 1.0), (1, 2, 3.0), (2, 1, 5.0), (3, 9, 7.0)], "code long, t long, v double")
+    p = P.on_grid(seen, 3).where("v IS NOT NULL")
+    assert sorted(map(tuple, p.collect())) == [(1, 0, 1.0), (1, 2, 3.0), (2, 1, 5.0)]
+    assert "BroadcastExchange" not in p._jdf.queryExecution().executedPlan().toString()

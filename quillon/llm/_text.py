@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -34,6 +35,21 @@ def shared_checkpoints(spark) -> None:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillon-checkpoints-"))
 
 
+#: shuffle files go when the execution that wrote them ends; else they stay until the driver collects its garbage
+DROPS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark):
+    """Executions of tables made inside delete their shuffle files when they end; for tables that are run once, to be stored."""
+    before = spark.conf.get(DROPS, None)
+    spark.conf.set(DROPS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROPS) if before is None else spark.conf.set(DROPS, before)
+
+
 def stored(df):
     """The rows written to the shared checkpoint folder and reread; ``unstored`` deletes them.
 
@@ -43,7 +59,8 @@ def stored(df):
     spark = df.sparkSession
     shared_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

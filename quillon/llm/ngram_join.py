@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._text import M64, mix, shared_checkpoints, shingles, slices, spare_name, stored
+from quillon.llm._text import M64, mix, shared_checkpoints, shingles, shuffles_dropped, slices, spare_name, stored, unstored
 from quillon.llm.components import connected_components
 
 LEVEL = 1.5
@@ -431,7 +431,9 @@ def around_pivots(members: DataFrame, sets: DataFrame, near: DataFrame, percent:
         crossed = crossed.select("set_key", "rep", "cluster", F.expr("if(v = 1, 1, 0)").alias("chunk"), F.expr(f"if(v = 1, {ring}, {core})").alias("tasks"))
         tasks = crossed if tasks is None else tasks.unionByName(crossed)
         small = left.join(groups.select("c"), F.col("cluster") == F.col("c"), "left_anti")
+        last = left
         left = stored(at.where("v < 2").select(left.columns).unionByName(small))
+        unstored(seen, last)
     sized = left.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
     pairs = F.expr("transform(sequence(0, chunks - 1), x -> struct(cluster AS t, least(x, chunk) AS i, greatest(x, chunk) AS j))")
     rest = left.join(sized, F.col("cluster") == F.col("c")).withColumn("chunk", F.expr("int(pmod(xxhash64(set_key), chunks))"))
@@ -452,16 +454,19 @@ def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[Data
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(64, math.ceil(total * 0.5 / RANGE))
     blocks = base.mapInArrow(_blocks(size, percent, ranges), "r int, block binary")
-    found = blocks.groupBy("r").applyInArrow(_candidates, "a long, b long, tie boolean").checkpoint()
+    with shuffles_dropped(spark):
+        found = blocks.groupBy("r").applyInArrow(_candidates, "a long, b long, tie boolean").checkpoint()
     reps = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
     pairs = found.where("NOT tie").select("a", "b").distinct()
     side = lambda x: reps.select(F.col("set_key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = pairs.join(side("a"), F.col("a") == F.col("ka")).join(side("b"), F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "sa", "sb")
-    near = pairs.mapInArrow(_near(percent), "a long, b long").checkpoint()
+    with shuffles_dropped(spark):
+        near = pairs.mapInArrow(_near(percent), "a long, b long").checkpoint()
     clusters = connected_components(near.unionByName(found.where("tie").select("a", "b")))
     # the weight of a set is its shingles and a part of a chunk, so that chunks are bounded in sets as well
     weight = (F.col("n") + math.ceil(chunk / MEMBERS)).alias("n")
-    members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", weight, "set_key", F.col("component").alias("cluster")).checkpoint()
+    with shuffles_dropped(spark):
+        members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", weight, "set_key", F.col("component").alias("cluster")).checkpoint()
     sized = members.groupBy("cluster").agg(F.sum("n").alias("s"))
     all_of, largest = sized.agg(F.sum("s"), F.max("s")).first()
     # clusters of one chunk share tasks
@@ -477,7 +482,8 @@ def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[Data
         large = sized.where(F.col("s") > chunk).select(F.col("cluster").alias("c"))
         few = members.join(large, F.col("cluster") == F.col("c"), "left_anti")
         many = members.join(large, F.col("cluster") == F.col("c"), "left_semi")
-        sets = with_features(many.select("set_key", "rep")).select("set_key", "features").checkpoint()
+        with shuffles_dropped(spark):
+            sets = with_features(many.select("set_key", "rep")).select("set_key", "features").checkpoint()
         parts, links = around_pivots(many, sets, near, percent, chunk, alone)
         parts = parts.select(F.col("set_key").alias("k"), "cluster", "chunk", F.explode("tasks").alias("x"))
         parts = sets.join(parts, F.col("set_key") == F.col("k")).select("set_key", "cluster", "chunk", "features", "x.t", "x.i", "x.j")

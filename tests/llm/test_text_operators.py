@@ -807,3 +807,22 @@ def test_chat_long_conversation(spark):
     c = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.lit("hi there").alias("text"))
     got = chat.linked(c).agg(F.count("*"), F.sum((F.col("reply_to") == F.col("turn") - 3).cast("long")), F.max("position"), F.countDistinct("position")).first()
     assert tuple(got) == (n, n - 1, n - 1, n)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from quillon.llm._text import DROPS, stored, unstored
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, was = files(), spark.conf.get(DROPS)
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert sorted(map(tuple, table.collect())) == [(k, len(range(k, 1000, 7))) for k in range(7)]
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(DROPS) == was
+    unstored(table)

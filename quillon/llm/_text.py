@@ -50,6 +50,35 @@ def shuffles_dropped(spark):
         spark.conf.unset(DROPS) if before is None else spark.conf.set(DROPS, before)
 
 
+#: bytes of a table, as estimated, up to which a join broadcasts it while a table is stored
+BROADCAST = 256 << 10
+
+
+@contextmanager
+def small_broadcasts(spark):
+    """Joins that run inside broadcast tables of at most BROADCAST bytes, or less where the session says so.
+
+    With Spark's 10 MB, steps of many joins broadcast tables that grow with the documents: each passes
+    through the driver, as a hash table several times the size of the file or rows that it was estimated by.
+    """
+    most = min(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold(), BROADCAST)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(name, None) for name in names]
+    for name in names:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@contextmanager
+def storing(spark):
+    with shuffles_dropped(spark), small_broadcasts(spark):
+        yield
+
+
 def stored(df):
     """The rows written to the shared checkpoint folder and reread; ``unstored`` deletes them.
 
@@ -59,7 +88,7 @@ def stored(df):
     spark = df.sparkSession
     shared_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
+    with storing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

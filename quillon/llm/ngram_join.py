@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._text import M64, mix, shared_checkpoints, shingles, shuffles_dropped, slices, spare_name, stored, unstored
+from quillon.llm._text import M64, mix, shared_checkpoints, shingles, slices, spare_name, stored, storing, unstored
 from quillon.llm.components import connected_components
 
 LEVEL = 1.5
@@ -454,18 +454,18 @@ def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[Data
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(64, math.ceil(total * 0.5 / RANGE))
     blocks = base.mapInArrow(_blocks(size, percent, ranges), "r int, block binary")
-    with shuffles_dropped(spark):
+    with storing(spark):
         found = blocks.groupBy("r").applyInArrow(_candidates, "a long, b long, tie boolean").checkpoint()
     reps = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
     pairs = found.where("NOT tie").select("a", "b").distinct()
     side = lambda x: reps.select(F.col("set_key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = pairs.join(side("a"), F.col("a") == F.col("ka")).join(side("b"), F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "sa", "sb")
-    with shuffles_dropped(spark):
+    with storing(spark):
         near = pairs.mapInArrow(_near(percent), "a long, b long").checkpoint()
     clusters = connected_components(near.unionByName(found.where("tie").select("a", "b")))
     # the weight of a set is its shingles and a part of a chunk, so that chunks are bounded in sets as well
     weight = (F.col("n") + math.ceil(chunk / MEMBERS)).alias("n")
-    with shuffles_dropped(spark):
+    with storing(spark):
         members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", weight, "set_key", F.col("component").alias("cluster")).checkpoint()
     sized = members.groupBy("cluster").agg(F.sum("n").alias("s"))
     all_of, largest = sized.agg(F.sum("s"), F.max("s")).first()
@@ -482,7 +482,7 @@ def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[Data
         large = sized.where(F.col("s") > chunk).select(F.col("cluster").alias("c"))
         few = members.join(large, F.col("cluster") == F.col("c"), "left_anti")
         many = members.join(large, F.col("cluster") == F.col("c"), "left_semi")
-        with shuffles_dropped(spark):
+        with storing(spark):
             sets = with_features(many.select("set_key", "rep")).select("set_key", "features").checkpoint()
         parts, links = around_pivots(many, sets, near, percent, chunk, alone)
         parts = parts.select(F.col("set_key").alias("k"), "cluster", "chunk", F.explode("tasks").alias("x"))
@@ -493,7 +493,8 @@ def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[Data
     verified = tasks.groupBy("t", "i", "j").applyInArrow(_verify(percent), "a long, b long")
     links = verified if links is None else verified.unionByName(links)
     joined = connected_components(links)
-    known = reps.select("set_key", "rep").join(joined, F.col("set_key") == F.col("node"), "left")
+    # what is returned runs under the caller's settings: its joins are by sorting, as all their sides grow with the documents
+    known = reps.select("set_key", "rep").join(joined.hint("merge"), F.col("set_key") == F.col("node"), "left")
     return keyed.select("doc_id", "row_key", "n_shingles", "set_key"), known.select(F.col("set_key").alias("k"), "rep", F.coalesce("component", "set_key").alias("component"))
 
 
@@ -518,8 +519,8 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, chunk: int = C
     """
     keyed, known = _classes(_rows(docs).withColumn("row_key", F.lit("")), size, percent, chunk)
     low = known.groupBy("component").agg(F.min("rep").alias("low")).withColumnRenamed("component", "c")
-    named = known.join(low, F.col("component") == F.col("c")).select("k", "low")
-    out = keyed.join(named, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+    named = known.join(low.hint("merge"), F.col("component") == F.col("c")).select("k", "low")
+    out = keyed.join(named.hint("merge"), (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 

@@ -826,3 +826,29 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert not files() - before
     assert spark.conf.get(DROPS) == was
     unstored(table)
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark):
+    from quillon.llm import ngram_join
+    from quillon.llm._text import storing
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    a, b = spark.range(100_000), spark.range(100_000)  # 800 KB by estimate
+    set_before = spark.conf.get(name)
+    assert "BroadcastHashJoin" in plan(a.join(b, "id"))
+    with storing(spark):
+        assert "BroadcastHashJoin" not in plan(a.join(b, "id"))
+        assert "BroadcastHashJoin" in plan(a.join(spark.range(1000), "id"))
+    assert spark.conf.get(name) == set_before
+    try:
+        spark.conf.set(name, "-1")
+        with storing(spark):
+            assert "BroadcastHashJoin" not in plan(a.join(spark.range(1000), "id"))
+        assert spark.conf.get(name) == "-1"
+    finally:
+        spark.conf.unset(name)
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j", "k l m n o p q", "", None]
+    out = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [(0, 7, 0), (1, 7, 0), (2, 4, 2), (3, 0, 3), (4, 0, 4)]
+    assert "BroadcastHashJoin" not in plan(out) and "BroadcastExchange" not in plan(out)

@@ -13,7 +13,12 @@ pairs, which sizes and parity sketches (exact bounds) thin out; those of a large
 its smallest set key, not paired. Pairs and ties are closed to candidate clusters, and links inside
 a cluster are verified exactly, in chunks of bounded size, so that no task holds an unbounded group.
 
-A cluster of many chunks is first thinned around pivots. All members are measured against a few
+A cluster of many chunks is first divided by sketches: its members are compared by sizes and sketches
+alone, which are a few hundredths of the features, and what they do not rule out ties the new
+clusters. Sets that only share common features in large buckets fall apart there, and their features
+are never dealt out chunk against chunk.
+
+A cluster that is still of many chunks is then thinned around pivots. All members are measured against a few
 candidate pivots; those linked with the best one are its core, one component already, and are not
 compared with each other. Jaccard distance is a metric, so a member further from the pivot than
 twice the linking distance links with no one in the core; the ring between is compared with the
@@ -47,6 +52,8 @@ ROUNDS, SAMPLED, WORTH = 12, 6, 0.1
 MEMBERS, PAIRS = 100_000, 1_000_000
 #: pivots tried within a chunk, and candidates for each
 CORES, TRIED = 8, 16
+#: words that a set has in a chunk of sketches besides its sketch; members of a component of sketches from which it is probed first
+BESIDES, PROBED = 8, 256
 
 
 def level_of(n: int) -> int:
@@ -355,6 +362,105 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, pe
     return [int(ids[i]) for i in a], [int(ids[j]) for j in b]
 
 
+def alike_forest(n: np.ndarray, sketches: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs that sizes and parity sketches do not rule out; with two sides, pairs across them count."""
+    order = np.lexsort((sides, n))
+    n, sides, sketches = n[order].astype(np.int64), sides[order], [np.frombuffer(sketches[i], np.uint64) for i in order]
+    words = np.array([len(s) for s in sketches])
+    label, members, edges, largest = np.arange(len(n)), {}, [], -1
+    reach = 100 * n // percent  # partners are at most so large
+    names = np.unique(sides).tolist()
+    folded = {}
+    for w in np.unique(words).tolist():
+        mine = np.flatnonzero(words == w)
+        for side in names:
+            # the larger sets that those of w words meet, with sketches folded to w words, one row a word
+            at = np.flatnonzero((words >= w) & (n <= reach[mine].max()) & (sides == side))
+            rows = np.array([np.bitwise_xor.reduce(sketches[j].reshape(-1, w), 0) for j in at], np.uint64).reshape(-1, w)
+            folded[w, side] = at, np.ascontiguousarray(rows.T), np.searchsorted(at, np.arange(len(n)), side="right"), np.searchsorted(n[at], reach, side="right")
+
+    def near(i, at, columns):
+        """Those of ``at``, larger sets in ascending order, that i is near to."""
+        if not len(at):
+            return at
+        x, half = sketches[i], (len(columns) + 1) // 2
+        d = np.zeros(len(at), np.uint16)
+        for c, v in zip(columns[:half], x[:half], strict=True):
+            d += np.bitwise_count(c ^ v)
+        few = np.flatnonzero(d <= (100 - percent) * int(n[i] + n[at[-1]]) // (100 + percent))
+        if not len(few):
+            return few
+        d = d[few].astype(np.int64) + np.bitwise_count(columns[half:, few] ^ x[half:, None]).sum(0, dtype=np.int64)
+        return at[few[d * (100 + percent) <= (100 - percent) * (n[i] + n[at[few]])]]
+
+    def joined(i, js):
+        nonlocal largest
+        for j in js[np.unique(label[js], return_index=True)[1]].tolist():
+            r, s = int(label[i]), int(label[j])
+            if r != s:
+                r, s = sorted((r, s), key=lambda k: len(members.get(k, ())))
+                less, more = members.pop(r, [r]), members.setdefault(s, [s])
+                label[less] = s
+                more += less
+                edges.append((int(order[i]), int(order[j])))
+                if largest < 0 or len(more) > len(members.get(largest, ())):
+                    largest = s
+
+    for i in range(len(n)):
+        for side in names:
+            if len(names) > 1 and side == sides[i]:
+                continue
+            at, columns, low, high = folded[int(words[i]), side]
+            part = slice(low[i], high[i])
+            at, columns = at[part], columns[:, part]
+            if not len(at) or not members:
+                joined(i, near(i, at, columns))
+                continue
+            of = label[at]
+            if label[i] != largest and len(members[largest]) >= PROBED:
+                some = np.flatnonzero(of == largest)
+                some = some[:: max(1, len(some) // TRIED)]
+                joined(i, near(i, at[some], columns[:, some]))
+                of = label[at]
+            other = np.flatnonzero(of != label[i])
+            if 2 * len(other) < len(at):
+                at, columns = at[other], columns[:, other]
+            joined(i, near(i, at, columns))
+    return edges
+
+
+def _alike(percent: int):
+    def run(table):
+        import pyarrow as pa
+
+        keys, chunk = table.column("set_key").to_numpy(), table.column("chunk").to_numpy()
+        edges = []
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py() or (chunk != chunk[0]).any():
+            edges = alike_forest(table.column("size").to_numpy(), table.column("sketch").to_pylist(), chunk, percent)
+        at = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(keys[at[:, 0]], pa.int64()), "b": pa.array(keys[at[:, 1]], pa.int64())})
+
+    return run
+
+
+#: of members with a cluster, its chunks and a chunk: the tasks of a member, one for each pair of chunks with its own
+CHUNK_PAIRS = "transform(sequence(0, chunks - 1), x -> struct(cluster AS t, least(x, chunk) AS i, greatest(x, chunk) AS j))"
+
+
+def divided(members: DataFrame, chunk: int, percent: int) -> DataFrame:
+    """(set_key, cluster) for members (set_key, cluster, size, sketch) of large clusters, with the clusters that sizes and sketches leave.
+
+    All pairs of a cluster are looked at, chunk against chunk of sketches, so no link is lost; members that
+    are near to no other are in no cluster.
+    """
+    words = F.length("sketch") / 8 + BESIDES
+    sized = members.groupBy("cluster").agg(F.ceil(F.sum(words) / max(1, chunk // 2)).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
+    dealt = members.join(sized, F.col("cluster") == F.col("c")).withColumn("chunk", F.expr("int(pmod(xxhash64(set_key), chunks))"))
+    tasks = dealt.select("set_key", "size", "sketch", "chunk", F.explode(F.expr(CHUNK_PAIRS)).alias("x")).select("set_key", "size", "sketch", "chunk", "x.t", "x.i", "x.j")
+    edges = tasks.groupBy("t", "i", "j").applyInArrow(_alike(percent), "a long, b long")
+    return connected_components(edges).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+
+
 def _settle(found, sets, n, parent, root, percent, a, b) -> list:
     if found:
         d, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -435,9 +541,8 @@ def around_pivots(members: DataFrame, sets: DataFrame, near: DataFrame, percent:
         left = stored(at.where("v < 2").select(left.columns).unionByName(small))
         unstored(seen, last)
     sized = left.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
-    pairs = F.expr("transform(sequence(0, chunks - 1), x -> struct(cluster AS t, least(x, chunk) AS i, greatest(x, chunk) AS j))")
     rest = left.join(sized, F.col("cluster") == F.col("c")).withColumn("chunk", F.expr("int(pmod(xxhash64(set_key), chunks))"))
-    rest = rest.select("set_key", "rep", "cluster", "chunk", F.when(F.col("chunks") == 1, alone).otherwise(pairs).alias("tasks"))
+    rest = rest.select("set_key", "rep", "cluster", "chunk", F.when(F.col("chunks") == 1, alone).otherwise(F.expr(CHUNK_PAIRS)).alias("tasks"))
     return rest if tasks is None else rest.unionByName(tasks), links
 
 
@@ -466,8 +571,17 @@ def _classes(docs: DataFrame, size: int, percent: int, chunk: int) -> tuple[Data
     # the weight of a set is its shingles and a part of a chunk, so that chunks are bounded in sets as well
     weight = (F.col("n") + math.ceil(chunk / MEMBERS)).alias("n")
     with storing(spark):
-        members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", weight, "set_key", F.col("component").alias("cluster")).checkpoint()
+        members = reps.join(clusters, F.col("set_key") == F.col("node")).select("rep", weight, "set_key", F.col("component").alias("cluster"), F.col("n").alias("size"), "sketch").checkpoint()
     sized = members.groupBy("cluster").agg(F.sum("n").alias("s"))
+    if (sized.agg(F.max("s")).first()[0] or 0) > chunk:
+        large = sized.where(F.col("s") > chunk).select(F.col("cluster").alias("c"))
+        many = members.join(large, F.col("cluster") == F.col("c"), "left_semi")
+        anew = divided(many, chunk, percent).select(F.col("set_key").alias("k"), F.col("cluster").alias("c"))
+        few = members.join(large, F.col("cluster") == F.col("c"), "left_anti").select("rep", "n", "set_key", "cluster")
+        with storing(spark):
+            members = few.unionByName(many.join(anew, F.col("set_key") == F.col("k")).select("rep", "n", "set_key", F.col("c").alias("cluster"))).checkpoint()
+        sized = members.groupBy("cluster").agg(F.sum("n").alias("s"))
+    members = members.select("rep", "n", "set_key", "cluster")
     all_of, largest = sized.agg(F.sum("s"), F.max("s")).first()
     # clusters of one chunk share tasks
     alone = F.array(F.struct(F.expr(f"pmod(xxhash64(cluster), {max(64, math.ceil((all_of or 0) / chunk))})").alias("t"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))

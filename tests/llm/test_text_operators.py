@@ -564,6 +564,48 @@ def test_cores_are_not_compared_with_each_other(spark):
     assert (tasks.selectExpr("size(tasks) AS k").agg({"k": "sum"}).first()[0] or 0) <= 300
 
 
+@pytest.mark.parametrize("percent", [85, 60])
+def test_sketches_divide_as_brute_force_does(monkeypatch, percent):
+    rng = np.random.default_rng(percent)
+    draw = lambda n: rng.integers(0, 1 << 63, int(n)).astype(np.uint64)
+    bases = [draw(rng.integers(3, 400)) for _ in range(6)]
+    sets = [np.unique(np.r_[b[rng.random(len(b)) > rng.choice([0.02, 0.1, 0.2, 0.4])], draw(rng.integers(1, 2 + len(b) // 8))]) for b in bases for _ in range(30)]
+    n, sketches = np.array([len(s) for s in sets]), [ngram_join.parity_sketch(s, percent) for s in sets]
+
+    def near(i, j):
+        w = min(len(sketches[i]), len(sketches[j])) // 8
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(sketches[k], np.uint64).reshape(-1, w), 0) for k in (i, j))
+        return percent * max(n[i], n[j]) <= 100 * min(n[i], n[j]) and int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+
+    def classes(edges):
+        of = list(range(len(n)))
+        for i, j in edges:
+            of = [of[i] if x == of[j] else x for x in of]
+        return [of.index(x) for x in of]
+
+    for sides in (np.zeros(len(n), int), rng.integers(0, 2, len(n))):
+        want = classes([(i, j) for i in range(len(n)) for j in range(i) if (sides.max() == 0 or sides[i] != sides[j]) and near(i, j)])
+        for probed in (4, 256):
+            monkeypatch.setattr(ngram_join, "PROBED", probed)
+            edges = ngram_join.alike_forest(n, sketches, sides, percent)
+            assert classes(edges) == want and len(edges) == len(n) - len(set(want))
+
+
+def test_sets_with_a_common_phrase_are_not_dealt_chunk_against_chunk(spark, monkeypatch):
+    """They share large buckets and so one cluster of many chunks, but no links: only their sketches meet."""
+    rng = random.Random(8)
+    phrase = " ".join(f"common{i}" for i in range(10))
+    texts = [phrase + "".join(f" w{rng.randrange(10**6)}" for _ in range(6)) for _ in range(400)]
+    texts += [t + " tail" for t in texts[:20]]
+    rows = list(enumerate(texts))
+    divided, pivots, seen = ngram_join.divided, [], []
+    monkeypatch.setattr(ngram_join, "divided", lambda members, *a: seen.append(members.count()) or divided(members, *a))
+    monkeypatch.setattr(ngram_join, "around_pivots", lambda *a: pivots.append(a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, rows), 4, 85, 700).collect()}
+    assert got == brute_join(rows, 4, 85)
+    assert seen[0] > 100 and not pivots
+
+
 def test_a_chunk_of_near_copies_takes_little_time():
     import time
 

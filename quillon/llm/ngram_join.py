@@ -362,12 +362,12 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, pe
     return [int(ids[i]) for i in a], [int(ids[j]) for j in b]
 
 
-def alike_forest(n: np.ndarray, sketches: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs that sizes and parity sketches do not rule out; with two sides, pairs across them count."""
+def alike_classes(n: np.ndarray, sketches: list[bytes], sides: np.ndarray, percent: int) -> np.ndarray:
+    """A label of each set's class under chains of pairs that sizes and parity sketches do not rule out; with two sides, pairs across them count."""
     order = np.lexsort((sides, n))
     n, sides, sketches = n[order].astype(np.int64), sides[order], [np.frombuffer(sketches[i], np.uint64) for i in order]
     words = np.array([len(s) for s in sketches])
-    label, members, edges, largest = np.arange(len(n)), {}, [], -1
+    label, members, largest = np.arange(len(n)), {}, -1
     reach = 100 * n // percent  # partners are at most so large
     names = np.unique(sides).tolist()
     folded = {}
@@ -402,7 +402,6 @@ def alike_forest(n: np.ndarray, sketches: list[bytes], sides: np.ndarray, percen
                 less, more = members.pop(r, [r]), members.setdefault(s, [s])
                 label[less] = s
                 more += less
-                edges.append((int(order[i]), int(order[j])))
                 if largest < 0 or len(more) > len(members.get(largest, ())):
                     largest = s
 
@@ -426,7 +425,9 @@ def alike_forest(n: np.ndarray, sketches: list[bytes], sides: np.ndarray, percen
             if 2 * len(other) < len(at):
                 at, columns = at[other], columns[:, other]
             joined(i, near(i, at, columns))
-    return edges
+    out = np.empty_like(label)
+    out[order] = label
+    return out
 
 
 def _alike(percent: int):
@@ -434,11 +435,16 @@ def _alike(percent: int):
         import pyarrow as pa
 
         keys, chunk = table.column("set_key").to_numpy(), table.column("chunk").to_numpy()
-        edges = []
-        if table.column("i")[0].as_py() == table.column("j")[0].as_py() or (chunk != chunk[0]).any():
-            edges = alike_forest(table.column("size").to_numpy(), table.column("sketch").to_pylist(), chunk, percent)
-        at = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(keys[at[:, 0]], pa.int64()), "b": pa.array(keys[at[:, 1]], pa.int64())})
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py() and (chunk == chunk[0]).all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "whole": pa.array([], pa.bool_())})  # one side of two is empty
+        label = alike_classes(table.column("size").to_numpy(), table.column("sketch").to_pylist(), chunk, percent)
+        # each class as a star around its smallest key, which takes the fewest rounds to close
+        order = np.lexsort((keys, label))
+        keys, label = keys[order], label[order]
+        first = np.r_[True, label[1:] != label[:-1]]
+        low = keys[first][np.cumsum(first) - 1]
+        whole = np.full(int((~first).sum()), table.column("chunks")[0].as_py() == 1)
+        return pa.table({"a": pa.array(low[~first], pa.int64()), "b": pa.array(keys[~first], pa.int64()), "whole": pa.array(whole)})
 
     return run
 
@@ -456,9 +462,12 @@ def divided(members: DataFrame, chunk: int, percent: int) -> DataFrame:
     words = F.length("sketch") / 8 + BESIDES
     sized = members.groupBy("cluster").agg(F.ceil(F.sum(words) / max(1, chunk // 2)).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
     dealt = members.join(sized, F.col("cluster") == F.col("c")).withColumn("chunk", F.expr("int(pmod(xxhash64(set_key), chunks))"))
-    tasks = dealt.select("set_key", "size", "sketch", "chunk", F.explode(F.expr(CHUNK_PAIRS)).alias("x")).select("set_key", "size", "sketch", "chunk", "x.t", "x.i", "x.j")
-    edges = tasks.groupBy("t", "i", "j").applyInArrow(_alike(percent), "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    tasks = dealt.select("set_key", "size", "sketch", "chunks", "chunk", F.explode(F.expr(CHUNK_PAIRS)).alias("x")).select("set_key", "size", "sketch", "chunks", "chunk", "x.t", "x.i", "x.j")
+    edges = stored(tasks.groupBy("t", "i", "j").applyInArrow(_alike(percent), "a long, b long, whole boolean"))
+    # the stars of a cluster of one chunk are its classes already
+    done = edges.where("whole").select(F.explode(F.array(F.struct(F.col("b").alias("k"), "a"), F.struct(F.col("a").alias("k"), "a"))).alias("x")).select("x.k", "x.a").distinct()
+    closed = connected_components(edges.where("NOT whole").select("a", "b"))
+    return closed.unionByName(done.toDF("node", "component")).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
 
 
 def _settle(found, sets, n, parent, root, percent, a, b) -> list:

@@ -587,8 +587,8 @@ def test_sketches_divide_as_brute_force_does(monkeypatch, percent):
         want = classes([(i, j) for i in range(len(n)) for j in range(i) if (sides.max() == 0 or sides[i] != sides[j]) and near(i, j)])
         for probed in (4, 256):
             monkeypatch.setattr(ngram_join, "PROBED", probed)
-            edges = ngram_join.alike_forest(n, sketches, sides, percent)
-            assert classes(edges) == want and len(edges) == len(n) - len(set(want))
+            label = ngram_join.alike_classes(n, sketches, sides, percent).tolist()
+            assert [label.index(x) for x in label] == want
 
 
 def test_sets_with_a_common_phrase_are_not_dealt_chunk_against_chunk(spark, monkeypatch):
@@ -894,3 +894,16 @@ def test_tables_that_grow_with_the_documents_are_not_broadcast(spark):
     out = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(map(tuple, out.collect())) == [(0, 7, 0), (1, 7, 0), (2, 4, 2), (3, 0, 3), (4, 0, 4)]
     assert "BroadcastHashJoin" not in plan(out) and "BroadcastExchange" not in plan(out)
+
+
+def test_classes_of_sketches_are_stars():
+    """Around the smallest key: a chain or a random tree of as many edges takes more rounds, and more rows in each."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    hub = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.unique(np.r_[hub[rng.permutation(100)[:97]], rng.integers(0, 1 << 63, 1).astype(np.uint64)]) for _ in range(600)]
+    keys = rng.permutation(600)
+    table = pa.table({"set_key": keys, "size": [len(s) for s in sets], "sketch": [ngram_join.parity_sketch(s, 80) for s in sets], "chunks": [1] * 600, "chunk": [0] * 600, "i": [0] * 600, "j": [0] * 600})
+    edges = ngram_join._alike(80)(table)
+    assert set(edges.column("a").to_pylist()) == {0} and all(edges.column("whole").to_pylist()) and sorted(edges.column("b").to_pylist()) == list(range(1, 600))
